@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
         if not batch.num_rows:
             continue
         column_at = batch.schema.get_field_index(column)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
