@@ -46,9 +46,9 @@ RULES = (
     Rule("max_words", "n_words", high=1_000_000),
     Rule("mean_word_length", "mean_word_chars", low=1.5, high=16.0),
     Rule("symbols_per_word", "symbols_per_word", high=0.1),
-    Rule("stop_words", "stop_word_ratio", low=0.01),
+    Rule("stop_words", "words_without_stop", high=25),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
-    Rule("shouting", "upper_word_ratio", high=0.5),
+    Rule("shouting", "upper_ratio", high=0.4),
 )
 BASE = ("min_words", "repeat_words")
 
@@ -57,7 +57,7 @@ def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFr
     """Add a struct column ``out`` with all measures that rules may name."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     step = "__quality"
-    df = df.withColumn(step, F.struct(word_array(t).alias("w"), F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols")))
+    df = df.withColumn(step, F.struct(word_array(t).alias("w"), F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_upper")))
     words, lines = F.col(f"{step}.w"), F.col(f"{step}.lines")
     df = df.withColumn(f"{step}_h", F.transform(words, lambda w: F.xxhash64(w)))
     hashes = F.col(f"{step}_h")
@@ -67,7 +67,7 @@ def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFr
     ).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(f"{step}_s", windows)
     shingles = F.col(f"{step}_s")
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    stop = F.array(*[F.lit(form + end) for w in dict.fromkeys(STOP_WORDS) for form in (w, w.capitalize()) for end in ("", ",", ".")])
     n_words = F.size(words).cast("long")
     chars = F.length(F.array_join(words, "")).cast("long")
     n_lines = F.size(lines).cast("long")
@@ -79,20 +79,20 @@ def measures(df: DataFrame, text: str = "text", out: str = "measures") -> DataFr
         (n_lines - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         n_lines.alias("n_lines"),
-        F.size(F.filter(words, lambda w: F.array_contains(stop, F.translate(F.lower(w), ".,;:!?", "")))).cast("long").alias("n_stop_words"),
-        F.size(F.filter(words, lambda w: w.rlike(r"^[^\p{Ll}]*\p{Lu}{2}[^\p{Ll}]*$"))).cast("long").alias("n_upper_words"),
+        F.size(F.array_intersect(words, stop)).cast("long").alias("n_stop_forms"),
+        F.col(f"{step}.n_upper").alias("n_upper"),
     )
     df = df.withColumn(f"{step}_m", found)
     m = F.col(f"{step}_m")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     full = F.struct(
-        *[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_upper_words")],
+        *[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_forms", "n_upper")],
         ratio(m["n_repeat_words"] * 100, m["n_words"]).alias("repeat_word_pct"),
         ratio(m["word_chars"], m["n_words"]).alias("mean_word_chars"),
         ratio(m["n_symbols"], m["n_words"]).alias("symbols_per_word"),
-        ratio(m["n_stop_words"], m["n_words"]).alias("stop_word_ratio"),
         ratio(m["n_dup_lines"], m["n_lines"]).alias("dup_line_ratio"),
-        ratio(m["n_upper_words"], m["n_words"]).alias("upper_word_ratio"),
+        F.when(m["n_stop_forms"] == 0, m["n_words"]).otherwise(0).cast("long").alias("words_without_stop"),
+        ratio(m["n_upper"], m["word_chars"]).alias("upper_ratio"),
     )
     return df.withColumn(out, full).drop(step, f"{step}_h", f"{step}_s", f"{step}_m")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrove.llm import audio, bpe, chat, quality_rules, secrets, simhash, source_mixing, toxicity
+from evalgrove.llm import audio, bpe, chat, quality_rules, secrets, simhash, source_mixing, substring_dedup, toxicity
 from evalgrove.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in each document when all repeated windows of 35 words go."""
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the labelled documents outside the held-out fold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,5 +69,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_chat_formatting, op8_media_columns, op9_byte_bpe, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_chat_formatting, op8_media_columns, op9_byte_bpe, op10_source_mixing)}
 ORACLE_SQL = {"op10_source_mixing": source_mixing.ORACLE_SQL}
