@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrove.llm import audio, bpe, chat, quality_rules, secrets, simhash, source_mixing, substring_dedup, toxicity
+from evalgrove.llm import audio, bpe, chat, quality_rules, secrets, simhash, source_mixing, substring_dedup, suffix_dedup, toxicity
 from evalgrove.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(chat.conversation_nodes(turns)))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left in each document when all repeated strings of 400 bytes go."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as audio, read back, with its features."""
     return audio.media_digests(table(spark, sf_dir, "documents"))
@@ -69,5 +74,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_chat_formatting, op8_media_columns, op9_byte_bpe, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_chat_formatting, op7_suffix_array_dedup, op8_media_columns, op9_byte_bpe, op10_source_mixing)}
 ORACLE_SQL = {"op10_source_mixing": source_mixing.ORACLE_SQL}

@@ -28,7 +28,6 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +64,8 @@ def _fingerprint(text: str | None, size: int, hasher) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(key, fp): the fingerprint of each whole text as a signed long."""
-    schema = T.StructType([df.select(key).schema.fields[0], T.StructField("fp", T.LongType(), False)])
+    """(key, h, fp): hash and fingerprint of each whole text, as signed longs."""
+    schema = T.StructType([df.select(key).schema.fields[0], T.StructField("h", T.LongType(), False), T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -75,10 +74,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
         digest = xxhash.xxh64_intdigest
         hasher = lambda b: digest(b, 42)
         for batch in text_slices(batches, "t"):
-            found = np.array([_fingerprint(t, size, hasher) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
+            found = np.array([_fingerprint(t, size, hasher) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], [key, "h", "fp"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
 
 
 def trie_links(values, prefix: int, bits: int = BITS):
@@ -245,21 +244,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """(key, fp, component_id): component_id is the smallest key that is reachable over links of at most ``bits`` bits."""
+def _rooted(df: DataFrame, key: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(key, h, fp) of each row, and (fp, root, least key) of each fingerprint."""
     found = durable(fingerprints(df, key, text))
     nodes = durable(found.groupBy("fp").agg(F.min(key).alias("least")))
     linked = components(links(nodes.select("fp"), bits))
-    rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return found, nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """(key, fp, component_id): component_id is the smallest key that is reachable over links of at most ``bits`` bits."""
+    found, rooted = _rooted(df, key, text, bits)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(names, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` whose key names their component (one document of each group); rows with a repeated key are reduced to one."""
-    groups = near_duplicates(df, key, text, bits)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    rows = df.join(kept, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
-    once = W.partitionBy(key).orderBy(F.xxhash64(text))
-    return rows.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
+    """One row of each component: that with the smallest key (null last), ties by the text's hash; all columns as they are."""
+    found, rooted = _rooted(df, key, text, bits)
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h")
+    kept = found.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("x")).select("x.k", F.col("x.h").alias("__h"))
+    rows = df.withColumn("__own", F.xxhash64(F.col(text)))
+    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("k")) & (F.col("__own") == F.col("__h")), "left_semi")
+    if not found.groupBy(key, "h").count().filter("count > 1").isEmpty():  # the same key and text more than once
+        rows = rows.dropDuplicates([key, "__own"])
+    return rows.drop("__own")
