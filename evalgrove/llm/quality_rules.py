@@ -125,4 +125,15 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     return df.withColumn(out, F.struct("__measures.*", F.col("__failed").alias("failed"), (F.size("__failed") == 0).alias("kept"))).drop("__measures", "__failed")
 
 
-__all__ = ["BASE", "RULES", "Rule", "WORD", "apply_rules", "failed", "measures"]
+def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that break no rule, with their own columns.
+
+    The verdict comes out of a generator: a filter on a generator's output is not moved below the projections, where
+    it would evaluate every measure again, within the lambdas even.
+    """
+    judged = apply_rules(df, rules, text, "__quality_verdict")
+    passed = judged.withColumn("__pass", F.explode_outer(F.array(F.col("__quality_verdict.kept"))))
+    return passed.filter("__pass").select(*df.columns)
+
+
+__all__ = ["BASE", "RULES", "Rule", "WORD", "apply_rules", "failed", "keep", "measures"]

@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the labelled documents outside the held-out fold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.training_rows(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    model = toxicity.train(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

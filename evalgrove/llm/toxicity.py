@@ -31,7 +31,7 @@ from evalgrove.llm.common import text_slices
 ORDERS = (3, 5, 7)
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-SAMPLE = 4_000
+SAMPLE = 3_000
 SMOOTH = 1.0
 PENALTY = 1e-4
 STEPS = 200
@@ -105,10 +105,9 @@ def fit(texts: list[str | None], toxic, share: float) -> Model:
         return Model(np.zeros(SLOTS, np.float32), logit(min(max(share, 0.01), 0.99)))
     y = toxic.astype(np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
-    found = [features(t).astype(np.int32) for t in texts]
     positive, negative = np.zeros(SLOTS), np.zeros(SLOTS)
-    for x, is_toxic in zip(found, toxic, strict=True):
-        (positive if is_toxic else negative)[x] += 1
+    for t, is_toxic in zip(texts, toxic, strict=True):  # features are made twice rather than kept
+        (positive if is_toxic else negative)[features(t)] += 1
     p, q = (positive + SMOOTH) / (n1 + 2 * SMOOTH), (negative + SMOOTH) / (n0 + 2 * SMOOTH)
     pooled = (positive + negative) / (n1 + n0)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
@@ -116,7 +115,7 @@ def fit(texts: list[str | None], toxic, share: float) -> Model:
     ratio = np.where(used, np.log(p / q), 0.0)
     place = np.cumsum(used) - 1
     width = int(used.sum())
-    kept = [place[x[used[x]]] for x in found]
+    kept = [place[x[used[x]]] for x in map(features, texts)]
     sizes = np.array([len(x) for x in kept])
     slot = np.concatenate(kept).astype(np.int64)
     row = np.repeat(np.arange(len(kept)), sizes)
@@ -138,18 +137,21 @@ def fit(texts: list[str | None], toxic, share: float) -> Model:
     return Model(weights, b + logit(share))
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on (key, text, label); at most ``sample`` rows of each class come to the driver."""
-    counts = {bool(r[0]): r[1] for r in labelled.filter(F.col(label).isNotNull()).groupBy(F.col(label) == 1).count().collect()}
-    total = sum(counts.values())
-    share = (counts.get(True, 0) + 0.5) / (total + 1.0)
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fit on labelled documents outside the held-out fold; at most ``sample`` of each class come to the driver.
+
+    The sample is chosen by key alone and then looked up, so no text is shuffled.
+    """
+    known = documents.select(key).filter(~held_out(key)).distinct()
+    own = labels.filter(F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias(label)).join(known, key)
+    counts = {int(r[0]): r[1] for r in own.groupBy(label).count().collect()}  # a row for each label
+    share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    texts, toxic = [], []
-    for value in (1, 0):
-        for r in labelled.filter(F.col(label) == value).orderBy(order, text).limit(sample).select(text).collect():
-            texts.append(r[0])
-            toxic.append(value)
-    return fit(texts, toxic, share)
+    chosen = [own.filter(F.col(label) == value).orderBy(order, key).limit(sample).select(key, label) for value in (1, 0)]
+    ids = chosen[0].unionByName(chosen[1])  # 2 * sample rows of a key and a label
+    rows = documents.select(key, text).join(F.broadcast(ids), key).groupBy(key).agg(F.min(text).alias(text), F.max(label).alias(label))
+    found = sorted(rows.collect(), key=lambda r: str(r[0]))
+    return fit([r[1] for r in found], [int(r[2]) == 1 for r in found], share)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,9 +171,3 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 def held_out(key: str = "doc_id"):
     """The fold that is never trained on."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
-
-
-def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Labelled documents of the training fold: (key, text, label)."""
-    own = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
-    return documents.select(key, "text").filter(~held_out(key)).join(own, key)
