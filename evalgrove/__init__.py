@@ -1,0 +1 @@
+"""Evaluation analytics for retrieval and routing systems, on Spark DataFrames."""
