@@ -122,3 +122,23 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+# A text's escaped length: one more for each backslash, for each '#' that two more follow, and for each '</turn>'.
+_LENGTH = r"""(length({0}) + (length({0}) - length(replace({0}, '\', '')))
+  + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0)
+  + (length({0}) - length(replace({0}, '</turn>', ''))) // 7)"""
+
+#: The query over ``conversations`` in DuckDB SQL (roles there hold no control strings).
+ORACLE_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(role) + 2 + {_LENGTH.format("text")} + 8)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -136,4 +136,26 @@ def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
     return passed.filter("__pass").select(*df.columns)
 
 
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query over ``documents`` in DuckDB SQL, from the same table of thresholds."""
+    forms = ", ".join("'" + form + end + "'" for w in dict.fromkeys(STOP_WORDS) for form in (w, w.capitalize()) for end in ("", ",", "."))
+    bounds = lambda r: " OR ".join([f"{r.measure} < {r.low}"] * (r.low is not None) + [f"{r.measure} > {r.high}"] * (r.high is not None))
+    broken = ", ".join(f"CASE WHEN {bounds(r)} THEN '{r.name}' END" for r in rules)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+        list_transform(range(1, len(words) - {WINDOW} + 2), lambda i: array_to_string(words[i : i + {WINDOW - 1}], ' ')) AS shingles FROM d),
+x AS (SELECT doc_id, w, list(i) AS places FROM (SELECT doc_id, unnest(shingles) AS w, unnest(range(1, len(shingles) + 1)) AS i FROM s) GROUP BY doc_id, w HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT doc_id, unnest(places) AS i FROM x)) GROUP BY doc_id),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+        len(lines) AS n_lines, len(list_intersect(words, [{forms}])) AS n_stop_forms, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper FROM s LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, coalesce(n_repeat_words * 100 / nullif(n_words, 0)::DOUBLE, 0) AS repeat_word_pct, coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0) AS mean_word_chars,
+        coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) AS symbols_per_word, coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS dup_line_ratio,
+        CASE WHEN n_stop_forms = 0 THEN n_words ELSE 0 END AS words_without_stop, coalesce(n_upper / nullif(word_chars, 0)::DOUBLE, 0) AS upper_ratio FROM m),
+f AS (SELECT *, list_filter([{broken}], lambda x: x IS NOT NULL) AS failed_rules FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, len(failed_rules) = 0 AS kept, failed_rules FROM f
+"""
+
+
 __all__ = ["BASE", "RULES", "Rule", "WORD", "apply_rules", "failed", "keep", "measures"]

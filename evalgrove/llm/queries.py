@@ -75,4 +75,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_chat_formatting, op7_suffix_array_dedup, op8_media_columns, op9_byte_bpe, op10_source_mixing)}
-ORACLE_SQL = {"op10_source_mixing": source_mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.oracle_sql(),
+    "op6_chat_formatting": chat.ORACLE_SQL,
+    "op10_source_mixing": source_mixing.ORACLE_SQL,
+}

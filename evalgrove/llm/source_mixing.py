@@ -89,8 +89,6 @@ WITH sized AS (
   SELECT *, (total - cap_before) / weight_left AS level FROM run
 ), target AS (
   SELECT source, source_size,
-         CASE WHEN level * weight < cap THEN level * weight ELSE cap END AS own,
-         coalesce(least(weight * min(CASE WHEN level * weight < cap THEN cap / weight END) OVER (), cap), cap) AS unused,
          first_value(CASE WHEN level * weight < cap THEN level END IGNORE NULLS) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_level,
          weight, cap
   FROM levels

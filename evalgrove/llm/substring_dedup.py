@@ -134,3 +134,16 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str], form)
                 n_removed.append(0)
             kept.append(form(b" ".join(words)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names)
+
+
+#: The query over ``documents`` in DuckDB SQL.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents),
+starts AS (SELECT rid, unnest(range(1, len(words) - 33)) AS first FROM d WHERE len(words) >= 35),
+windows AS (SELECT s.rid, s.first, md5(array_to_string(words[s.first : s.first + 34], ' ')) AS w FROM starts s JOIN d USING (rid)),
+marks AS (SELECT rid, first FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+gone AS (SELECT rid, list(DISTINCT p) AS places FROM (SELECT rid, unnest(range(first, first + 35)) AS p FROM marks) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""

@@ -203,12 +203,13 @@ def _matched(regions: DataFrame, length: int, gram: int) -> DataFrame:
         doc, h = (t.column(c).combine_chunks() for c in ("doc", "h"))
         first, m = windows.runs(twice, row)
         own = pa.array(row[first])
-        yield pa.RecordBatch.from_arrays([h.take(own), doc.take(own), h.take(own), pa.array(place[first]), pa.array(m), pa.nulls(len(first), pa.binary())], windows.NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(windows.spread(h.take(own), row[first], place[first])), doc.take(own), h.take(own), pa.array(place[first]), pa.array(m), pa.nulls(len(first), pa.binary())], windows.NAMES)
         offer = (source < 0) & (t.column("part").to_numpy()[row] >= 0)  # one of each, for the other parts of its minimizer
         if offer.any():
             values = _values(raw)
             full = windows.roll(values, length)
-            other = windows.smallest(windows.roll(values, 4 * gram), length - 4 * gram + 1)[starts]  # not all under the one minimizer again
+            wide = min(4 * gram, (gram + length) // 2)
+            other = windows.smallest(windows.roll(values, wide), length - wide + 1)[starts]  # not all under the one minimizer again
             first, m = windows.runs(offer, row, other)
             packed = [windows.pack(full[starts[x] : starts[x] + k]) for x, k in zip(first.tolist(), m.tolist(), strict=True)]
             own = pa.array(row[first])
@@ -246,7 +247,7 @@ def repeated_starts(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     totals = regions.groupBy("a").agg(F.sum("copies").alias("total"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("single"))
     known = regions.join(totals, "a").select("a", "r", "copies", "total", "single")
     judged = found.join(known, ["a", "r"]).filter("total > 1 OR loops")
-    whole = judged.filter("copies > 1").select(F.col("h").alias("key"), "doc", "h", "at", "n", F.lit(None).cast("binary").alias("hashes"))
+    whole = judged.filter("copies > 1").select(F.xxhash64("doc", "h", "at").alias("key"), "doc", "h", "at", "n", F.lit(None).cast("binary").alias("hashes"))
     # one region of each repeated content stands for its copies among the regions at edges
     edge = judged.filter("copies = 1").select("a", "doc", "h", "at", "n", F.col("single"))
     stand = judged.filter("copies > 1 AND single > 0").groupBy("a", "r").agg(F.min_by(F.struct("doc", "h", "at", "n"), F.struct("h", "at")).alias("x"), F.first("single").alias("single")).select("a", "x.*", "single")

@@ -109,6 +109,14 @@ def schema(doc: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, t) for k, t in fields])
 
 
+def spread(h: pa.Array, row, place):
+    """Keys for rows that only pass through the exchange: copies of a text go to different tasks."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return np.asarray(h, np.int64) ^ (row.astype(np.int64) * np.int64(0x9E3779B97F4A7C1)) ^ (place.astype(np.int64) * np.int64(0x6EB86659FD93))
+
+
 NAMES = ["key", "doc", "h", "at", "n", "hashes"]
 
 
@@ -124,8 +132,8 @@ def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers) -> pa.
     b, m = runs(twice, owner, breaks)
     at = np.concatenate([a, b])
     own = pa.array(owner[at])
-    known = np.asarray(h)[owner[b]] if len(b) else np.zeros(0, np.int64)
-    key = np.concatenate([minimizers[a].view(np.int64), known.astype(np.int64)])
+    known = spread(h.take(pa.array(owner[b])), owner[b], place[b])
+    key = np.concatenate([minimizers[a].view(np.int64), known])
     column = pa.array([*rows, *[None] * len(b)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(key), doc.take(own), h.take(own), pa.array(place[at]), pa.array(np.concatenate([n, m])), column], NAMES)
 
