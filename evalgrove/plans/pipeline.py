@@ -27,7 +27,7 @@ def results(cases: DataFrame, articles: DataFrame, backend: backends.Backend, to
     found = hits.join(named, "idx").groupBy(F.col("query_id").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "title", "content"))).alias("h"))
     rows = keyed.join(found, "vec_id", "left").withColumn("context", fn.context(F.coalesce("h", F.array().cast("array<struct<rank:int,title:string,content:string>>")))).withColumn("titles", F.transform("h", lambda x: x["title"]))
     rows = backends.generate(rows.drop("h", "vec_id"), backend)
-    rows = rows.withColumn("action", F.when("bot_success", fn.parse_action(F.col("bot_response")))).withColumn("sensitive_data_detected", F.when("bot_success", fn.sensitive(F.col("bot_response"))))
+    rows = rows.withColumn("action", F.when(F.col("bot_success"), fn.parse_action(F.col("bot_response")))).withColumn("sensitive_data_detected", F.when(F.col("bot_success"), fn.sensitive(F.col("bot_response"))))
     sample = sampling.stratified_sample(cases.filter("expected_action = 'answer'"), "case_id", "topic").select("case_id", F.lit(True).alias("__sampled"))
     rows = backends.judge(rows, backend, backends.PRIMARY, F.col("bot_success"))
     rows = rows.join(sample, "case_id", "left")

@@ -17,10 +17,9 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, on_bad: str =
 
 def good_and_bad(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """IO2: the parsed rows, and the lines that are no JSON."""
-    rows = jsonl(spark, path, schema, "report")
-    names = [c for c in rows.columns if c != "_corrupt_record"]
-    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
-    return rows.filter("_corrupt_record IS NULL").select(*names), lines.filter(F.json_object_keys("value").isNull())
+    lines = json_lines(spark, path).withColumn("__json", F.json_object_keys("value").isNotNull())
+    good = lines.filter("__json").select(F.from_json("value", schema).alias("x")).select("x.*")
+    return good, lines.filter(~F.col("__json")).select("value")
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
