@@ -185,5 +185,5 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def spans_by_row(marks: DataFrame) -> DataFrame:
-    """(doc, h, spans): all marks of a row; as many as its text has runs, at most."""
-    return marks.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    """(doc, h, spans): the distinct marks of a row, merged before the shuffle; at most as many as its text has runs."""
+    return marks.groupBy("doc", "h").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
