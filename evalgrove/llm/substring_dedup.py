@@ -2,9 +2,10 @@
 
 The k-word windows of all documents are the edges of the graph. They are dealt out by minimizer as runs
 of neighbouring edges (see ``windows``); an edge found at two places or more is repeated. Repeated edges
-that follow each other in a document are compacted to paths: first within a minimizer's bucket,
-then, through joins on the source coordinates (document, place), across buckets, where pieces of a path
-meet. The paths' coordinates are laid over the document's own words, and each word under a path goes.
+that follow each other in a document are compacted to paths: first within a minimizer's bucket, then by
+source coordinates (document, place) across buckets, where pieces of a path meet. The paths are joined to
+their documents, laid over the document's own words, and each word under a path goes. Branches need not be told
+from other junctions: they do not change which words are covered.
 
 Scale: one exchange of 7 bytes a window and one of the texts; equal windows within a slice of rows travel
 once, so common passages and copies do not gather in one task. The lists joined to a document are
@@ -82,6 +83,11 @@ def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     return rows.mapInArrow(run, schema)
 
 
+def paths(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc, h, at, n): maximal paths of repeated edges; a path covers the words at..at+n-1+window-1."""
+    return windows.compacted(windows.settle(edges(df, key, text, window)))
+
+
 def repeated_paths(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, h, spans): for each document with repeated windows, the runs of their starts."""
     return windows.spans_by_row(windows.settle(edges(df, key, text, window)))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,6 +185,21 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, out)
 
 
+def compacted(marks: DataFrame) -> DataFrame:
+    """(doc, h, at, n): maximal paths, from pieces that meet or overlap in one row's coordinates.
+
+    Equal pieces are merged before the shuffle; a window then holds the pieces of one text, as many as it has runs at
+    most. A piece begins a path if no piece before it reaches its first place.
+    """
+    pieces = marks.groupBy("doc", "h", "at").agg(F.max("n").alias("n"))
+    order = W.partitionBy("doc", "h").orderBy("at")
+    reach = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    begun = pieces.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1))
+    numbered = begun.withColumn("path", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = numbered.groupBy("doc", "h", "path").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    return ends.select("doc", "h", "at", (F.col("end") - F.col("at")).alias("n"))
+
+
 def spans_by_row(marks: DataFrame) -> DataFrame:
-    """(doc, h, spans): the distinct marks of a row, merged before the shuffle; at most as many as its text has runs."""
-    return marks.groupBy("doc", "h").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    """(doc, h, spans): the maximal paths of each row; fewer than its text has windows."""
+    return compacted(marks).groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
