@@ -369,3 +369,79 @@ def paired_runs(spark, sf_dir):
 
     r = views.results(spark, sf_dir)
     return paired(r.select("case_id", "topic", F.col("correct").alias("passed")), r.select("case_id", F.col("grounded").alias("passed")), by=["topic"])
+
+
+@query("display_columns", f"{SQL} SELECT case_id, topic AS script, difficulty AS modifier, expected_action AS persona FROM v_cases")
+def display_columns(spark, sf_dir):
+    """Report names of columns."""
+    from evalgrove.plans.report import display
+
+    return display(views.cases(spark, sf_dir).select("case_id", "topic", "difficulty", F.col("expected_action").alias("source"))).select("case_id", "persona", "script", "modifier")
+
+
+@query("spot_check", f"""{SQL}, r AS (SELECT case_id FROM v_cases ORDER BY md5(case_id::VARCHAR), case_id LIMIT 3), u AS (SELECT case_id, 0 AS p FROM v_cases WHERE risk_level = 'critical' UNION ALL SELECT case_id, 1 FROM r)
+  SELECT case_id FROM (SELECT case_id, min(p) AS p FROM u GROUP BY case_id ORDER BY p, case_id LIMIT 10)""")
+def spot_check(spark, sf_dir):
+    return sampling.spot_check(views.cases(spark, sf_dir), 10).select("case_id")
+
+
+@query("blind_sheet", """WITH r AS (SELECT item_id AS key, text, 'real' AS label FROM benchmark ORDER BY md5('real' || item_id), item_id LIMIT 10),
+  s AS (SELECT conv_id * 1000 + turn AS key, text, 'synthetic' AS label FROM conversations WHERE role = 'user' ORDER BY md5('synthetic' || (conv_id * 1000 + turn)), conv_id * 1000 + turn LIMIT 10)
+  SELECT (row_number() OVER (ORDER BY md5('blind' || label || key)))::INT AS place, key, label FROM (SELECT * FROM r UNION ALL SELECT * FROM s)""")
+def blind_sheet(spark, sf_dir):
+    real = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
+    own = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    return sampling.blind_sheet(real, own, 10).select("place", "key", "label")
+
+
+@query("variant_rows", f"""{SQL}, seeds AS (SELECT seed_id, min(query) AS query, min(risk_level) AS risk_level, min(split) AS split FROM v_cases GROUP BY seed_id),
+  f AS (SELECT *, unnest(list_filter(['short_mobile', CASE WHEN risk_level = 'low' AND {_FAMILY} < 0.5 THEN 'typo_noisy' END, CASE WHEN risk_level = 'critical' THEN 'emotional' END, CASE WHEN risk_level = 'critical' OR {_FAMILY} < 0.3 THEN 'non_native' END], lambda x: x IS NOT NULL)) AS family_id FROM seeds)
+  SELECT seed_id || '_variant_' || family_id || '_1' AS case_id, seed_id, 'synthetic_variant_' || family_id AS source, split, 'unreviewed' AS label_status FROM f
+  WHERE NOT (family_id = 'short_mobile' AND substr(seed_id, 1, 1) < '8')""")
+def variant_rows(spark, sf_dir):
+    """Variants still to be made when half of the first family exists."""
+    seeds = views.cases(spark, sf_dir).groupBy("seed_id").agg(F.min("query").alias("query"), F.min("risk_level").alias("risk_level"), F.min("split").alias("split")).withColumn("difficulty", F.lit("direct"))
+    made = seeds.filter(F.substring("seed_id", 1, 1) < "8").select("seed_id", F.lit("short_mobile").alias("family_id"))
+    return sampling.variants(seeds, made).select("case_id", "seed_id", "source", "split", "label_status")
+
+
+@query("variant_ids", "SELECT doc_id, 'd' || doc_id AS seed_id, lang AS family_id, (doc_id % 7)::INT AS n FROM documents")
+def variant_ids(spark, sf_dir):
+    """Ids built and taken apart again."""
+    built = table(spark, sf_dir, "documents").select("doc_id", fn.variant_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("lang"), F.col("doc_id") % 7).alias("id"))
+    return built.select("doc_id", fn.parse_variant_id(F.col("id")).alias("x")).select("doc_id", "x.*")
+
+
+@query("rendered_prompts", """SELECT doc_id, md5('Rewrite the query. ' || lang || chr(10) || 'Query: ' || text) AS prompt_md5 FROM documents""")
+def rendered_prompts(spark, sf_dir):
+    """T14."""
+    template = registry.PROMPTS[1][3]
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fn.render(template, instruction=F.col("lang"), query=F.col("text"))).alias("prompt_md5"))
+
+
+@query("unquoted", r"""SELECT doc_id, 'x' AS plain FROM documents""")
+def unquoted(spark, sf_dir):
+    """T12 on a constant in three kinds of wrapping."""
+    k = F.col("doc_id") % 3
+    return table(spark, sf_dir, "documents").select("doc_id", fn.unquote(F.when(k == 0, ' "x" ').when(k == 1, "'x'").otherwise("\"'x'\"")).alias("plain"))
+
+
+@query("validated_labels", "SELECT count(*) FILTER (WHERE quality = 1) AS human_validated, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id)")
+def validated_labels(spark, sf_dir):
+    return stats.validated_labels(views.cases(spark, sf_dir).withColumn("label_status", F.when(F.col("quality") == 1, "human_validated")))
+
+
+@query("metric_bounds", f"WITH m AS ({_metrics_sql()}), b(metric, low, high) AS (VALUES ('routing_accuracy', 0.8, NULL), ('critical_escalate_recall', 0.9, NULL), ('answer_precision', NULL, 0.9)) SELECT b.metric, value, value IS NOT NULL AND (low IS NULL OR value >= low) AND (high IS NULL OR value <= high) AS ok FROM b LEFT JOIN m USING (metric)")
+def metric_bounds(spark, sf_dir):
+    from evalgrove.operators.compare import guardrails
+
+    bounds = spark.createDataFrame([("routing_accuracy", 0.8, None), ("critical_escalate_recall", 0.9, None), ("answer_precision", None, 0.9)], "metric string, low double, high double")
+    return guardrails(metrics_all(spark, sf_dir), bounds)
+
+
+@query("registry_ids", "SELECT 'correctness' AS judge_id UNION ALL SELECT 'groundedness'")
+def registry_ids(spark, sf_dir):
+    """Judges of the registry that a primary pass uses."""
+    from evalgrove.plans.backends import PRIMARY
+
+    return incremental.set_intersection(registry.judges(spark).select("judge_id"), spark.createDataFrame([(j,) for j in PRIMARY], "judge_id string"))

@@ -82,3 +82,12 @@ def test_files_that_arrive_are_taken_once(spark, tmp_path):
     go()
     go()
     assert {(r.case_id, r.n) for r in spark.read.parquet(str(tmp_path / "sink")).collect()} == {("1", 3), ("2", 2)}
+
+
+def test_queries_are_written_for_combinations(spark):
+    from evalgrove.operators import registry
+    from evalgrove.plans.report import written_queries
+
+    lists = [registry.listed(spark, x) for x in (registry.PERSONAS, registry.SCENARIOS, registry.MODIFIERS)]
+    rows = written_queries(sampling.product(*lists, limit=7), backends.RuleBackend()).collect()
+    assert len(rows) == 7 and all(r.bot_success and r.scenario_name in r.query for r in rows)
