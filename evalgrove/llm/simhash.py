@@ -264,7 +264,8 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     """One row of each component: that with the smallest key (null last), ties by the text's hash; all columns as they are."""
     found, rooted = _rooted(df, key, text, bits)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h")
-    kept = found.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.k").alias("__k"), F.col("x.h").alias("__h"))
+    first = found.groupBy("fp").agg(F.min(rank).alias("x"))  # one row of each fingerprint before the join
+    kept = first.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.k").alias("__k"), F.col("x.h").alias("__h"))
     rows = df.withColumn("__own", F.xxhash64(F.col(text)))
     rows = rows.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__h")), "left_semi")
     if not found.groupBy(key, "h").count().filter("count > 1").isEmpty():  # the same key and text more than once
