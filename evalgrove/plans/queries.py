@@ -275,13 +275,13 @@ def upsert_latest(spark, sf_dir):
     return incremental.latest(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("first_wins_union", """SELECT id, origin FROM (SELECT doc_id AS id, 'documents' AS origin, 0 AS f FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT item_id, 'benchmark', 1 FROM benchmark)
+@query("first_wins_union", """SELECT id, origin FROM (SELECT doc_id AS id, 'documents' AS origin, 0 AS f FROM documents WHERE lang = 'en' UNION ALL SELECT item_id, 'benchmark', 1 FROM benchmark)
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY f) = 1""")
 def first_wins_union(spark, sf_dir):
-    """Documents with an odd id, then benchmark items; the predicate comes before an id counts as seen."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("origin"))
+    """English documents, then benchmark items; the predicate comes before an id counts as seen."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("origin"), "lang")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("origin"))
-    return incremental.first_wins([d, b], "id", "origin", (F.col("origin") == "benchmark") | (F.col("id") % 2 == 1)).select("id", "origin")
+    return incremental.first_wins([d, b], "id", "origin", (F.col("origin") == "benchmark") | (F.col("lang") == "en")).select("id", "origin")
 
 
 _WORDS = ", ".join(f"'{w}'" for w in fn.COMMON_WORDS)
@@ -397,11 +397,11 @@ def blind_sheet(spark, sf_dir):
 @query("variant_rows", f"""{SQL}, seeds AS (SELECT seed_id, min(query) AS query, min(risk_level) AS risk_level, min(split) AS split FROM v_cases GROUP BY seed_id),
   f AS (SELECT *, unnest(list_filter(['short_mobile', CASE WHEN risk_level = 'low' AND {_FAMILY} < 0.5 THEN 'typo_noisy' END, CASE WHEN risk_level = 'critical' THEN 'emotional' END, CASE WHEN risk_level = 'critical' OR {_FAMILY} < 0.3 THEN 'non_native' END], lambda x: x IS NOT NULL)) AS family_id FROM seeds)
   SELECT seed_id || '_variant_' || family_id || '_1' AS case_id, seed_id, 'synthetic_variant_' || family_id AS source, split, 'unreviewed' AS label_status FROM f
-  WHERE NOT (family_id = 'short_mobile' AND substr(seed_id, 1, 1) < '8')""")
+  WHERE NOT (family_id = 'short_mobile' AND risk_level = 'critical')""")
 def variant_rows(spark, sf_dir):
-    """Variants still to be made when half of the first family exists."""
+    """Variants still to be made when the first family of critical seeds exists."""
     seeds = views.cases(spark, sf_dir).groupBy("seed_id").agg(F.min("query").alias("query"), F.min("risk_level").alias("risk_level"), F.min("split").alias("split")).withColumn("difficulty", F.lit("direct"))
-    made = seeds.filter(F.substring("seed_id", 1, 1) < "8").select("seed_id", F.lit("short_mobile").alias("family_id"))
+    made = seeds.filter("risk_level = 'critical'").select("seed_id", F.lit("short_mobile").alias("family_id"))
     return sampling.variants(seeds, made).select("case_id", "seed_id", "source", "split", "label_status")
 
 
