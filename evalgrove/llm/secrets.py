@@ -4,8 +4,9 @@ Base kinds: ``assign`` (a secret's name, a separator, a value of 6 or more chara
 access key id of 20 or more), ``hex`` (a run of 24 or more). A run that fails its length is dropped, and the
 search goes on behind it.
 
-Novelty: candidates are runs of 16 or more key characters with letters and digits that no base span
-overlaps and that have a sensitive word within ``CONTEXT`` code points before them. A zstandard
+Novelty: candidates are runs of 16 or more key characters with digits that no base span
+overlaps and that have a sensitive word within ``CONTEXT`` code points before them. In NAME=value the value
+is a candidate by itself, so that its name is before it; the whole run is one if no value is novel. A zstandard
 compressor is primed with a dictionary of identifiers; a candidate's novelty is the number of
 bytes by which the frame of its surroundings grows when the candidate is put in, over its own
 bytes. Text that repeats identifiers or its surroundings adds little; random keys add nearly
@@ -38,6 +39,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_-]+(?:=+$)?")  # of an assignment within a candidate, with its padding
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|bearer|private|signature|login", re.IGNORECASE | re.ASCII)
 
 _ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
@@ -94,18 +96,25 @@ class Novelty:
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         found, taken, at = [], sorted(base), 0
+
+        def novel(start: int, end: int) -> bool:
+            k = at
+            while k < len(taken) and taken[k][0] < end:
+                if taken[k][1] > start:
+                    return False
+                k += 1
+            own = text[start:end]
+            if not any(c.isdigit() for c in own):
+                return False  # long words are as novel as keys
+            before = text[max(0, start - CONTEXT) : start]
+            return bool(SENSITIVE.search(before)) and self.of(before, own, text[end : end + CONTEXT]) >= NOVELTY
+
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if any(a < end for a, b, _ in taken[at : at + 4] if b > start):
-                continue
-            own = m[0]
-            if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
-                continue
-            before = text[max(0, start - CONTEXT) : start]
-            if SENSITIVE.search(before) and self.of(before, own, text[end : end + CONTEXT]) >= NOVELTY:
-                found.append((start, end, "novel"))
+            values = [(start + v.start(), start + v.end()) for v in VALUE.finditer(m[0]) if v.end() - v.start() >= 16]
+            found += [(a, b, "novel") for a, b in values if novel(a, b)] or ([(start, end, "novel")] if novel(start, end) else [])
         return found
 
 
