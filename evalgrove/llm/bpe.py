@@ -30,10 +30,11 @@ from pyspark.sql import types as T
 
 from evalgrove.llm.common import text_slices
 
-#: Pieces that a worker keeps encoded (about 50 bytes each).
-KEPT_PIECES = 1_000_000
-#: Code points taken up at once.
-BLOCK_CHARS = 1 << 21
+#: Pieces that a task keeps encoded (about 50 bytes each); they go when it ends.
+KEPT_PIECES = 250_000
+#: Code points, and bytes of texts, taken up at once (a block needs about 60 times as many bytes).
+BLOCK_CHARS = 1 << 19
+SLICE = 1 << 19
 #: Pieces of more bytes get a segment tree of their own; shorter ones share arrays of ROWS trees.
 WIDEST = 64
 ROWS = 1 << 13
@@ -251,9 +252,12 @@ class Codec:
         if len(self.powers) < most:
             with np.errstate(over="ignore"):
                 self.powers = np.cumprod(np.full(2 * most, 0x9E3779B97F4A7C15, np.uint64))
-        place = np.arange(len(raw)) - np.repeat(start, size)
+        place = np.arange(len(raw), dtype=np.int32)
+        place -= np.repeat(start.astype(np.int32), size)
         with np.errstate(over="ignore"):
-            h = np.add.reduceat(self.letters[raw] * self.powers[place], start) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            letters = self.letters[raw]
+            letters *= self.powers[place]
+            h = np.add.reduceat(letters, start) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
@@ -392,11 +396,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         import numpy as np
 
         c = codec(shared.value, pattern)
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             found = [np.concatenate(x) for x in c.encode_all([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])]
             values = pa.array(np.concatenate(found).astype(np.int32))
             offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], [*batch.schema.names, ids])
+        c.forget()
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -424,7 +429,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
-        for batch in text_slices(batches, "t", 1 << 21):
+        for batch in text_slices(batches, "t", SLICE):
             counts, of_ids, of_bytes = [], [], []
             for found in c.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 n, a, b = 0, hashlib.sha256(), hashlib.sha256()
@@ -436,5 +441,6 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
                 of_ids.append(a.hexdigest())
                 of_bytes.append(b.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return df.select(F.col(key), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,29 +35,55 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` of the session names it.
 
-    The session's own setting is used as it stands; only where none is set (tests on one
-    machine) a temporary folder takes its place.
+    Where none is set, a session of one process (``local[...]``) gets a folder of its own; a cluster must name one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="evalgrove-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evalgrove-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a table into the shared checkpoint folder and read it back, for tables that are read several times by column."""
+    """Write a table into the shared folder and read it back, for tables that are read several times by column.
+
+    The table goes with the application: its folder is registered for removal when the session ends.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalgrove-table-")
-    path = f"{base.rstrip('/')}/evalgrove-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/evalgrove-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``written``, after which the shuffles behind the table are given back: nothing reads them any more.
+
+    Spark removes a shuffle's files once the driver's heap has lost its last reference, which without a collection may
+    be long after.
+    """
+    out = written(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that each holds at most ``most`` bytes of text, or one row."""
     import numpy as np
@@ -69,3 +99,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks
