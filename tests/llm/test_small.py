@@ -190,19 +190,52 @@ def test_audio(spark, docs, none):
         raw = (text or "").encode()
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(padded) + 44)
-    kept = audio.media_columns(docs.filter("doc_id = 4")).toArrow()
-    assert audio.read_back(kept.column("media")[0].as_py())[:3] == TEXTS[4][1].encode()[:3]
-    tensors = audio.tensor_table(kept)
-    assert tensors.schema.field("tensor").type.shape == [audio.BLOCK_FRAMES, audio.MELS]
-    assert audio.media_digests(none).count() == 0
-
-
-def test_resampler_keeps_a_tone_and_segments_have_hysteresis():
+    for r in audio.media_columns(docs.filter("doc_id IN (0, 1, 4) OR doc_id IS NULL")).collect():
+        raw = (next(t for i, t, _ in TEXTS if i == r.doc_id) or "").encode()
+        back = audio.read_back(bytes(r.media))
+        assert back[: len(raw)] == raw and len(back) % audio.UNIT == 0
+        stored = audio.read_tensors(bytes(r.tensors))
+        assert stored.schema.field("tensor").type.shape == [audio.BLOCK_FRAMES, audio.MELS]
+        want, spans, frames = audio.features(back)
+        assert np.array_equal(stored.column("tensor").combine_chunks().to_numpy_ndarray(), want)
+        assert (r.n_frames, [tuple(s) for s in r.spans]) == (frames, spans) and stored.column("end_ms")[-1].as_py() * audio.RATE // 1000 >= len(back) * 2 // 3
+    assert audio.media_digests(none).count() == 0 and audio.media_columns(none).count() == 0
+
+
+@pytest.mark.parametrize("hz", [400, 1000, 1900, 2500, 3000, 3500])
+def test_resampler_gives_the_tone_at_its_places(hz):
     t = np.arange(12_000)
-    tone = (128 + 100 * np.sin(2 * np.pi * 400 * t / 12_000)).astype(np.uint8).tobytes()
-    out = audio.resample(tone)
-    spectrum = np.abs(np.fft.rfft(out * np.hanning(len(out))))
-    assert len(out) == 8_000 and abs(int(spectrum.argmax()) - 400) <= 1
+    tone = np.round(128 + 100 * np.sin(2 * np.pi * hz * t / 12_000)).astype(np.uint8)
+    out = audio.resample(tone.tobytes())
+    want = 100 / 128 * np.sin(2 * np.pi * hz * 1.5 * np.arange(8_000) / 12_000)
+    inner = slice(100, -100)
+    assert len(out) == 8_000 and np.sqrt(np.mean((out - want)[inner] ** 2) / np.mean(want[inner] ** 2)) < 0.01
+    # interpolation sums of the samples themselves, at a few places
+    for m in (500, 501, 4_000, 4_001):
+        away = t - 1.5 * m
+        direct = ((tone - 128.0) / 128 * np.sinc(away * 2 / 3) * 2 / 3 * np.kaiser(2 * 3_000 + 1, 8)[np.clip(np.round(away).astype(int) + 3_000, 0, 6_000)] * (np.abs(away) < 3_000)).sum()
+        assert abs(out[m] - direct) < 0.02
+
+
+def test_log_mel_equals_a_plain_version():
+    signal = np.random.default_rng(1).normal(size=384).astype(np.float32)
+    mels, energy = audio.log_mel(signal)
+    assert len(mels) == 4  # 0, 80, 160, 240: the last one reaches value 383
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hz = 700 * (10 ** (np.linspace(mel(60), mel(4_000), 22) / 2595) - 1)
+    for k in range(4):
+        part = np.zeros(200)
+        part[: len(signal[80 * k : 80 * k + 200])] = signal[80 * k : 80 * k + 200]
+        part *= 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(200) / 200)
+        power = [abs(sum(v * np.exp(-2j * np.pi * f * i / 256) for i, v in enumerate(part))) ** 2 for f in range(129)]
+        for b in range(20):
+            at = np.arange(129) * 8_000 / 256
+            weight = np.interp(at, hz[b : b + 3], [0, 1, 0])
+            assert mels[k, b] == pytest.approx(10 * np.log10(weight @ power + 1e-10), abs=0.02)
+        assert energy[k] == pytest.approx(10 * np.log10(np.mean(part**2) + 1e-10), abs=0.01)
+
+
+def test_segments_have_hysteresis():
     assert audio.segments(np.array([0, 0, 0.2, 2, 0.2, -5, 0.2, 0, 0.0])) == [(0, 5)]
 
 
