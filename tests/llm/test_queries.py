@@ -33,13 +33,13 @@ def kept_by_rules(text):
     five = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
     count = Counter(five)
     again = {p for k, s in enumerate(five) if count[s] > 1 for p in range(k, k + 5)}
-    forms = {f + e for x in quality_rules.STOP_WORDS for f in (x, x.capitalize()) for e in ("", ",", ".")}
+    forms = set(quality_rules.stop_forms())
     chars = sum(map(len, w))
     if len(w) < 10 or 100 * len(again) > 20 * len(w):
         return False
     upper = sum(c.isupper() for c in text)
     symbols = len(re.findall(r"[#*$%&|<>]", text))
-    return 1.5 <= chars / len(w) <= 16 and symbols / len(w) <= 0.1 and (bool(forms & set(w)) or len(w) <= 25) and (len(lines) - len(set(lines))) / len(lines) <= 0.5 and upper / chars <= 0.4
+    return 1.5 <= chars / len(w) <= 16 and symbols / len(w) <= 0.1 and 100 * (sum(x in forms for x in w) + 1) / (sum(bool(re.fullmatch(r"[^\W\d_]+[,.]?", x)) for x in w) + 1) >= 4 and (len(lines) - len(set(lines))) / len(lines) <= 0.5 and upper / chars <= 0.4
 
 
 def test_pipeline_equals_a_plain_version(spark):
