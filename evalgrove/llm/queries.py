@@ -51,7 +51,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left in each document when all repeated strings of 400 bytes go."""
-    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ windows mostly share one, so a run of windows travels as one row. Copies within
 settled where they are read and only one of them travels, so a window that a third of all rows
 hold costs one row a slice, not one a row.
 
-Rows: ``key`` (where it goes), the row's own ``doc`` and ``h`` (hash of its text), ``at`` and ``n`` (window
-starts at..at+n-1), ``hashes`` (7 bytes a window; null: these windows are known to be repeated).
+Rows: ``key`` (where it goes), the row's own ``doc`` and ``h`` (hash of its text), ``kind`` (of the windows, for callers
+that look for several lengths; keys of unlike kinds must differ), ``at`` and ``n`` (window starts at..at+n-1),
+``hashes`` (7 bytes a window; null: these windows are known to be repeated).
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def unpack(packed: list[bytes]):
 
 
 def schema(doc: T.DataType) -> T.StructType:
-    fields = [("key", T.LongType()), ("doc", doc), ("h", T.LongType()), ("at", T.LongType()), ("n", T.LongType()), ("hashes", T.BinaryType())]
+    fields = [("key", T.LongType()), ("doc", doc), ("h", T.LongType()), ("kind", T.LongType()), ("at", T.LongType()), ("n", T.LongType()), ("hashes", T.BinaryType())]
     return T.StructType([T.StructField(k, t) for k, t in fields])
 
 
@@ -118,7 +119,7 @@ def spread(h: pa.Array, row, place):
         return np.asarray(h, np.int64) ^ (row.astype(np.int64) * np.int64(0x9E3779B97F4A7C1)) ^ (place.astype(np.int64) * np.int64(0x6EB86659FD93))
 
 
-NAMES = ["key", "doc", "h", "at", "n", "hashes"]
+NAMES = ["key", "doc", "h", "kind", "at", "n", "hashes"]
 
 
 def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers) -> pa.RecordBatch:
@@ -136,13 +137,12 @@ def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers) -> pa.
     known = spread(h.take(pa.array(owner[b])), owner[b], place[b])
     key = np.concatenate([minimizers[a].view(np.int64), known])
     column = pa.array([*rows, *[None] * len(b)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key), doc.take(own), h.take(own), pa.array(place[at]), pa.array(np.concatenate([n, m])), column], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(key), doc.take(own), h.take(own), pa.array(np.zeros(len(at), np.int64)), pa.array(place[at]), pa.array(np.concatenate([n, m])), column], NAMES)
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """(doc, h, at, n): runs of repeated windows, from rows of ``schema``. One shuffle, by key."""
-    kind = rows.schema["doc"].dataType
-    out = T.StructType([T.StructField("doc", kind), *[T.StructField(c, T.LongType()) for c in ("h", "at", "n")]])
+    """(doc, h, kind, at, n): runs of repeated windows, from rows of ``schema``. One shuffle, by key."""
+    out = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "kind", "at", "n")]])
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         import numpy as np
@@ -158,7 +158,7 @@ def settle(rows: DataFrame) -> DataFrame:
         first, length = runs(twice, row)
         own = row[first]
         at = t.column("at").to_numpy()[own] + first - (np.cumsum(n) - n)[own] if len(first) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([*known.column(c).chunks, *t.column(c).take(pa.array(own)).chunks]) if known.num_rows + len(own) else pa.array([], t.schema.field(c).type) for c in ("doc", "h")] + [pa.concat_arrays([known.column(c).combine_chunks() if known.num_rows else pa.array([], pa.int64()), pa.array(x)]) for c, x in (("at", at), ("n", length))], ["doc", "h", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([*known.column(c).chunks, *t.column(c).take(pa.array(own)).chunks]) if known.num_rows + len(own) else pa.array([], t.schema.field(c).type) for c in ("doc", "h", "kind")] + [pa.concat_arrays([known.column(c).combine_chunks() if known.num_rows else pa.array([], pa.int64()), pa.array(x)]) for c, x in (("at", at), ("n", length))], ["doc", "h", "kind", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -177,7 +177,7 @@ def settle(rows: DataFrame) -> DataFrame:
                     yield compare(pa.Table.from_batches(held))
                     held, size, batch = [], 0, batch.slice(int(edge[0]))
             held.append(batch)
-            size += pa.compute.sum(batch.column(4)).as_py()
+            size += pa.compute.sum(batch.column(NAMES.index("n"))).as_py()
         if held:
             yield compare(pa.Table.from_batches(held))
 
@@ -186,20 +186,20 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def compacted(marks: DataFrame) -> DataFrame:
-    """(doc, h, at, n): maximal paths, from pieces that meet or overlap in one row's coordinates.
+    """(doc, h, kind, at, n): maximal paths, from pieces that meet or overlap in one row's coordinates.
 
     Equal pieces are merged before the shuffle; a window then holds the pieces of one text, as many as it has runs at
     most. A piece begins a path if no piece before it reaches its first place.
     """
-    pieces = marks.groupBy("doc", "h", "at").agg(F.max("n").alias("n"))
-    order = W.partitionBy("doc", "h").orderBy("at")
+    pieces = marks.groupBy("doc", "h", "kind", "at").agg(F.max("n").alias("n"))
+    order = W.partitionBy("doc", "h", "kind").orderBy("at")
     reach = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1))
     begun = pieces.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1))
     numbered = begun.withColumn("path", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    ends = numbered.groupBy("doc", "h", "path").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
-    return ends.select("doc", "h", "at", (F.col("end") - F.col("at")).alias("n"))
+    ends = numbered.groupBy("doc", "h", "kind", "path").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    return ends.select("doc", "h", "kind", "at", (F.col("end") - F.col("at")).alias("n"))
 
 
 def spans_by_row(marks: DataFrame) -> DataFrame:
     """(doc, h, spans): the maximal paths of each row; fewer than its text has windows."""
-    return compacted(marks).groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return compacted(marks).groupBy("doc", "h").agg(F.collect_list(F.struct("kind", "at", "n")).alias("spans"))
