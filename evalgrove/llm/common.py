@@ -58,27 +58,35 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(place) if at_exit else files.delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back, for tables that are read several times by column.
 
-    The table goes with the application: its folder is registered for removal when the session ends.
+    The table goes with the application, or earlier by ``settled``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evalgrove-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    _remove(spark, path, at_exit=True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``written``, after which the shuffles behind the table are given back: nothing reads them any more.
+def settled(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``written``, after which what is behind the table is given back: the shuffles, and the written tables ``spent``.
 
     Spark removes a shuffle's files once the driver's heap has lost its last reference, which without a collection may
-    be long after.
+    be long after. A lost executor costs nothing that is given back, as later stages read the new table.
     """
     out = written(df)
+    for table_ in spent:
+        _remove(df.sparkSession, table_.written_path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

@@ -346,10 +346,10 @@ def repeated_starts(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     """(doc, h, spans): for each text with repeated strings, the runs of their starts, by length (kind)."""
     found = settled(runs_of(df, key, text, length, gram))
     often = found.groupBy("a").agg(F.count(F.lit(1)).alias("total"), F.max("loops").alias("any")).filter("total > 1 OR any").select("a")
-    met = settled(found.join(often, "a", "left_semi"))
+    met = settled(found.join(often, "a", "left_semi"), found)
     regions = met.groupBy("a", "r").agg(F.count(F.lit(1)).alias("copies"))
     contents = regions.groupBy("a").agg(F.count(F.lit(1)).alias("contents"))
-    judged = settled(met.join(regions.join(contents, "a"), ["a", "r"]))
+    judged = settled(met.join(regions.join(contents, "a"), ["a", "r"]), met)
     ends = F.greatest(F.lit(0), F.least("n", F.col("size") - length + 1))
     both = F.explode(F.array(F.struct(F.lit(floor_of(length)).cast("long").alias("kind"), F.col("n").alias("m")), F.struct(F.lit(length).cast("long").alias("kind"), ends.alias("m"))))
     whole = judged.filter("copies > 1").select("doc", "h", "at", both.alias("x")).filter("x.m > 0")
@@ -358,7 +358,7 @@ def repeated_starts(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     edge = judged.filter("copies = 1").select("a", "doc", "h", "at", "n", "size", "contents")
     stand = judged.filter("copies > 1 AND contents > 1").groupBy("a", "r").agg(F.min_by(F.struct("doc", "h", "at", "n", "size"), F.struct("h", "at")).alias("x"), F.first("contents").alias("contents")).select("a", "x.*", "contents")
     edges_ = edge.unionByName(stand).withColumn("parts", F.ceil(F.col("contents") / share).cast("long")).drop("contents")
-    return settled(windows.spans_by_row(windows.settle(_matched(_regions(df, key, text, edges_), length, gram).unionByName(whole))))
+    return settled(windows.spans_by_row(windows.settle(_matched(_regions(df, key, text, edges_), length, gram).unionByName(whole))), judged)
 
 
 def _with_spans(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
