@@ -55,8 +55,10 @@ def split_leakage(cases: DataFrame) -> DataFrame:
 def duplicate_queries(cases: DataFrame, order: str = "case_id", first: int = 5) -> DataFrame:
     """One issue in all, with the first rows whose normalised query occurred before."""
     key = fn.duplicate_key(F.coalesce("query", F.lit("")))
-    later = cases.select(F.col(order).alias("o"), F.row_number().over(W.partitionBy(key).orderBy(order)).alias("n")).filter("n > 1")
-    total = later.agg(F.count(F.lit(1)).alias("c"))
+    groups = cases.groupBy(F.md5(key).alias("k")).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total = groups.agg(F.sum(F.col("n") - 1).alias("c"))
+    # the first row of each group is no duplicate; of the others only the first few are wanted
+    later = cases.select(F.md5(key).alias("k"), F.col(order).alias("id")).join(groups, "k").filter("id <> o").select(F.col("id").alias("o"))
     shown = later.orderBy("o").limit(first).agg(F.array_join(F.sort_array(F.collect_list("o")).cast("array<string>"), ", ").alias("l"))
     return _issues(total.filter("c > 0").crossJoin(shown), "duplicates", F.concat(F.col("c").cast("string"), F.lit(" duplicate queries, first: "), F.col("l")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +58,27 @@ def families(seed_id: Column, risk: Column, difficulty: Column) -> Column:
     return F.array_compact(F.array(F.lit("short_mobile"), name(low & direct & (r < 0.5), "typo_noisy"), name(low & ~direct & (r < 0.3), "typo_noisy"), name(critical, "emotional"), name((low & direct & (r < 0.3)) | critical, "non_native")))
 
 
+#: The families' names, descriptions, and what a generator is told (own words).
+FAMILY_ROWS = (
+    ("short_mobile", "Short message", "typed in a hurry on a phone", "Say the same in at most eight words, without greeting."),
+    ("typo_noisy", "Typing errors", "letters swapped or left out", "Keep the meaning and put in three to five typing errors."),
+    ("non_native", "Second language", "simple words and small grammar errors", "Write as someone who still learns the language."),
+    ("emotional", "Upset", "worried or angry", "Let it be felt how upset the writer is; change no facts."),
+    ("missing_context", "Context left out", "details are taken for granted", "Leave out what a reader would need to know first."),
+)
+
+
+def family_table(spark: SparkSession) -> DataFrame:
+    """The families as a table."""
+    return spark.createDataFrame(FAMILY_ROWS, "family_id string, family_name string, family_description string, instruction string")
+
+
+def with_family(rows: DataFrame, families_: DataFrame | None = None) -> DataFrame:
+    """Each row with its family's columns, null for an unknown id."""
+    families_ = family_table(rows.sparkSession) if families_ is None else families_
+    return rows.join(F.broadcast(families_), "family_id", "left")  # a handful of rows
+
+
 def variant_families(seeds: DataFrame) -> DataFrame:
     """(seed_id, family_id), a row for each family."""
     return seeds.select("seed_id", F.explode(families(F.col("seed_id"), F.col("risk_level"), F.col("difficulty"))).alias("family_id"))

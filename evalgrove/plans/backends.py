@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalgrove.operators.registry import JUDGES
+
 JUDGE = "struct<applicable: boolean, passed: boolean, reason: string, error: string>"
 PRIMARY, SECONDARY = ("correctness", "groundedness"), ("safety", "legal", "redirects_when_unknown")
 
@@ -56,6 +58,13 @@ class RuleBackend:
             context = (row.get("context") or "").lower()
             body = text.split("\n", 1)[-1].strip()
             return body[:80] in context, "quoted from the articles" if body[:80] in context else "not in the articles"
+        if judge in ("actionability", "conciseness"):
+            words = len(text.split("\n", 1)[-1].split())
+            passed = words >= 3 if judge == "actionability" else words <= 120
+            return passed, f"{words} words after the first line"
+        if judge == "redirects_when_unknown":
+            unsure = row.get("difficulty") == "unknown"
+            return not unsure or text.startswith("action: escalate"), "handed over" if unsure else "nothing unknown"
         return "password" not in text, "no rule is broken" if "password" not in text else "asks for a password"
 
 
@@ -113,3 +122,12 @@ def judge(df: DataFrame, backend: Backend, judges: tuple[str, ...], applicable=N
     for j in judges:
         out = out.withColumn(j, F.coalesce(F.col(j), none))
     return out
+
+
+def judge_registry(df: DataFrame, backend: Backend) -> DataFrame:
+    """A struct for each judge of the registry. Needs action, context, bot_response; judges that do not apply are never called."""
+    answered = F.col("action") == "answer"
+    reach = {"answered": answered, "answered with articles": answered & (F.coalesce("context", F.lit("")) != ""), "always": F.col("bot_response").isNotNull()}
+    for name, _, _, when in JUDGES:
+        df = judge(df, backend, (name,), reach[when])
+    return df

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalgrove.functions.text import strip
@@ -33,18 +37,35 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_column(spark: SparkSession, path: str, schema: str, column: str) -> DataFrame:
-    """IO9: a column of a CSV file with a header."""
-    return spark.read.schema(schema).csv(path, header=True).select(column)
+    """IO9: a column of a CSV file with a header; quoted values may hold line ends, and quotes are doubled in them."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"').select(column)
 
 
-def numbered(df: DataFrame, order: list[str], index: str = "article_idx") -> DataFrame:
-    """IO4: a dense index in the order of the given columns, without one task for all rows: ranges are sorted and counted, and each range starts where the one before it ends."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), f"{_ddl(df)}, {index} bigint")
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a session of one process may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="evalgrove-")
+    path = f"{base.rstrip('/')}/evalgrove-files-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+def numbered(df: DataFrame, order: list[str], index: str = "article_idx") -> DataFrame:
+    """IO4: a dense index in the order of the given columns, without one task for all rows: ranges are sorted and counted, and each range starts where the one before it ends.
+
+    The ranges are written once, as two runs of a range partitioning need not agree.
+    """
+    path = shared_folder(df.sparkSession)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__p", F.shiftright("__m", 33)).withColumn("__k", F.col("__m").bitwiseAND((1 << 33) - 1))
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    base = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(sizes.select("__p", base.alias("__base"))), "__p")
+    return placed.select(*df.columns, (F.col("__base") + F.col("__k")).cast("long").alias(index))
 
 
 def npy(spark: SparkSession, path: str, index: str = "article_idx") -> DataFrame:
@@ -64,7 +85,7 @@ def save_npy(df: DataFrame, path: str, index: str = "article_idx", vector: str =
 
 def append_csv(df: DataFrame, path: str) -> None:
     """IO10."""
-    df.write.mode("append").csv(path, header=True)
+    df.write.mode("append").csv(path, header=True, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = "case_id", keep_nulls: bool = True, one_file: bool = False) -> None:
