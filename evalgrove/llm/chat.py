@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from evalgrove.llm.common import durable
 
 END = "</turn>\n"
+#: The role whose texts are under the loss mask.
+LEARNT = "assistant"
 
 
 def escape(text: Column) -> Column:
@@ -86,15 +88,26 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
 
 
 def format_trees(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
-    """(tree, leaf, branch, formatted) from nodes: tree, node, parent, role, text, score."""
+    """(tree, leaf, branch, formatted, loss_mask) from nodes: tree, node, parent, role, text, score.
+
+    loss_mask has a span for each turn, in code points of ``formatted``: the turn begins at ``at``, and what is to be
+    learnt of it is [start, stop), the escaped text of the role LEARNT and nothing (start = stop) of others.
+    """
     # a null tree id joins like any other
     keyed = nodes.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.col("tree").alias("id")))
     keyed = keyed.withColumn("tree", F.to_json("tree"))
     once = keyed.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("x")).select("tree", "node", "x.*")
     chosen = paths(once, branches)
-    turns = chosen.join(once.select("tree", "node", turn(F.col("role"), F.col("text")).alias("turn")), ["tree", "node"])
-    lines = F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn")))
-    done = turns.groupBy("tree", "leaf", "branch").agg(F.array_join(F.transform(lines, lambda x: x["turn"]), "").alias("formatted"))
+    body = escape(F.col("text"))
+    turns = chosen.join(once.select("tree", "node", turn(F.col("role"), F.col("text")).alias("turn"), F.length(body).cast("long").alias("body"), (F.coalesce("role", F.lit("")) == LEARNT).alias("learnt")), ["tree", "node"])
+    # where each turn begins in the conversation, and where its text ends
+    before = W.partitionBy("tree", "leaf").orderBy(F.col("up").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    stop = F.sum(F.length("turn")).over(before)
+    turns = turns.withColumn("stop", stop - len(END)).withColumn("at", F.col("stop") + len(END) - F.length("turn"))
+    span = F.struct((-F.col("up")).alias("k"), "turn", F.struct("at", F.when(F.col("learnt"), F.col("stop") - F.col("body")).otherwise(F.col("stop")).alias("start"), "stop").alias("span"))
+    lines = F.sort_array(F.collect_list(span))
+    done = turns.groupBy("tree", "leaf", "branch").agg(lines.alias("lines"))
+    done = done.select("tree", "leaf", "branch", F.array_join(F.transform("lines", lambda x: x["turn"]), "").alias("formatted"), F.transform("lines", lambda x: x["span"]).alias("loss_mask"))
     kind = nodes.schema["tree"].dataType.simpleString()
     return done.withColumn("tree", F.from_json("tree", f"none boolean, id {kind}")["id"])
 
@@ -107,12 +120,18 @@ def conversation_nodes(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def masked(formatted: Column, loss_mask: Column) -> Column:
+    """The unescaped text under the loss mask, span by span: cut from the formatted conversation at the spans' places (within its turn's segment, so that a long conversation is read once)."""
+    segments = F.filter(F.split(formatted, END), lambda p: p != "")
+    cut = F.zip_with(segments, loss_mask, lambda p, m: unescape(F.substring(p, (m["start"] - m["at"] + 1).cast("int"), (m["stop"] - m["start"]).cast("int"))))
+    return F.array_join(cut, "")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what a formatted conversation holds; the loss mask covers assistant texts."""
+    """Counts and digests of what a formatted conversation holds; the loss is what its mask covers."""
     turns = F.col("turns")
     df = formatted.withColumn("turns", read_turns(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    df = df.withColumn("loss", loss)
+    df = df.withColumn("loss", masked(F.col("formatted"), F.col("loss_mask")))
     spoken = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return df.select(
         F.col("tree").alias("conv_id"),
