@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams (``ORDERS`` bytes) of the lower-cased text with each run of ASCII white space as one
+Features are the n-grams (``ORDERS`` characters) of the lower-cased text with each run of ASCII white space as one
 space, hashed to ``SLOTS`` slots; a feature is present or absent. With p and q the smoothed shares of
 toxic and other documents that have a feature, its ratio is r = log(p / q) over the whole sample; a
 logistic regression with an L2 penalty is trained on x * r (Wang and Manning, 2012), over the features
@@ -40,7 +40,7 @@ RATE = 0.05
 SURE = 4.5
 LEAST_DOCUMENTS = 2
 THRESHOLD = 0.7
-#: Bytes hashed at once.
+#: Characters hashed at once.
 CHUNK = 1 << 20
 
 
@@ -48,10 +48,10 @@ def slots(text: str | None) -> Iterator:
     """Slots of a text's n-grams, repeats included, in blocks."""
     import numpy as np
 
-    raw = b" ".join((text or "").encode("utf-8").lower().split())
+    raw = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split())
     if not raw:
         return
-    codes = np.frombuffer(b" " + raw + b" ", np.uint8)
+    codes = np.frombuffer(f" {raw.decode('utf-8', 'surrogatepass')} ".encode("utf-32-le", "surrogatepass"), "<u4")
     most = max(ORDERS)
     for start in range(0, len(codes), CHUNK):
         part = codes[start : start + CHUNK + most - 1].astype(np.uint64)
@@ -62,9 +62,9 @@ def slots(text: str | None) -> Iterator:
                 break
             h = h[:size]
             for k in range(done, n):
-                h = (h << np.uint64(8)) | part[k : k + size]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + part[k : k + size]
             done = n
-            yield (h * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(64 - SLOT_BITS)
+            yield ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * n)) >> np.uint64(64 - SLOT_BITS)
 
 
 def features(text: str | None):
