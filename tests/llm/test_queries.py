@@ -11,7 +11,8 @@ import pytest
 import corpus_pipeline
 from evalgrove.llm import quality_rules, secrets
 from evalgrove.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.test_small import fingerprint, split
+from tests.llm.test_near_copies import kept
+from tests.llm.test_small import split
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,10 @@ def kept_by_rules(text):
     return 1.5 <= chars / len(w) <= 16 and symbols / len(w) <= 0.1 and 100 * (sum(x in forms for x in w) + 1) / (sum(bool(re.fullmatch(r"[^\W\d_]+[,.]?", x)) for x in w) + 1) >= 4 and (len(lines) - len(set(lines))) / len(lines) <= 0.5 and upper / chars <= 0.4
 
 
+def docs_of(docs):
+    return [(d[0], d[1]) for d in docs]
+
+
 def test_pipeline_equals_a_plain_version(spark):
     import public_tokenizers as P
     import tiktoken
@@ -50,19 +55,8 @@ def test_pipeline_equals_a_plain_version(spark):
 
     docs = duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
     docs = [d for d in docs if kept_by_rules(d[1])]
-    fps = [fingerprint(d[1]) for d in docs]
-    group = list(range(len(docs)))
-
-    def find(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    for a in range(len(docs)):
-        for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
-                group[max(find(a), find(b))] = min(find(a), find(b))
-    docs = [d for k, d in enumerate(docs) if find(k) == k]
+    first = set(kept(docs_of(docs)))  # five-word shingles, similarity of 0.8 or more
+    docs = [d for d in docs if d[0] in first]
     novelty = secrets.Novelty()
     docs = [(i, secrets.redacted(t, secrets.find(t, novelty)), lang, s) for i, t, lang, s in docs]
     size = {d[0]: len(split(d[1])) for d in docs}
