@@ -1,15 +1,13 @@
-"""Substring dedup over words by a De Bruijn graph.
+"""Substring dedup over words by a De Bruijn graph (``word_graph``).
 
-The k-word windows of all documents are the edges of the graph. They are dealt out by minimizer as runs
-of neighbouring edges (see ``windows``); an edge found at two places or more is repeated. Repeated edges
-that follow each other in a document are compacted to paths: first within a minimizer's bucket, then by
-source coordinates (document, place) across buckets, where pieces of a path meet. The paths are joined to
-their documents, laid over the document's own words, and each word under a path goes. Branches need not be told
-from other junctions: they do not change which words are covered.
+The k-word windows of all documents are the edges of the graph, the k-1 words between two of them its nodes. Edges found at
+two places or more are compacted: first within a minimizer's bucket, then by joins over the nodes, along paths that do not
+branch. Source coordinates (document, place) lead back to the words of each piece, whose digests decide whether it repeats.
+The paths are laid over the words of their documents, and each word under a path goes.
 
-Scale: one exchange of 7 bytes a window and one of the texts; equal windows within a slice of rows travel
-once, so common passages and copies do not gather in one task. The lists joined to a document are
-bounded by its own length.
+Scale: one exchange of 7 bytes a window, two of the texts, each given back before the next; copies of a window within a slice
+of rows travel only where their neighbours differ, so common passages and copies do not gather in one task. The lists
+joined to a document are bounded by its own length. The windows of one minimizer meet in one task.
 
 Defined results: null and empty texts have no words and keep the empty string; texts shorter than the window
 are kept whole; rows that repeat a doc_id and a text are each other's copies; extra columns are not
@@ -26,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalgrove.llm import windows
-from evalgrove.llm.common import text_slices
+from evalgrove.llm import windows, word_graph
+from evalgrove.llm.common import settled, text_slices
 
 WINDOW = 35
 #: Words of the grams among which a window's minimizer is chosen.
@@ -66,7 +64,7 @@ def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         inside = offset <= sizes[part] - window
         owner = np.array([r for r, _, _ in held])[part[inside]]
         place = offset[inside] + np.array([s for _, s, _ in held])[part[inside]]
-        return windows.offered(batch.column(0), batch.column(1), owner, place, full[inside], least[inside])
+        return word_graph.offered(batch.column(0), batch.column(1), owner, place, full[inside], least[inside], words, np.flatnonzero(inside), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "t"):
@@ -83,14 +81,17 @@ def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     return rows.mapInArrow(run, schema)
 
 
-def paths(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc, h, at, n): maximal paths of repeated edges; a path covers the words at..at+n-1+window-1."""
-    return windows.compacted(windows.settle(edges(df, key, text, window)))
+def pieces_found(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(found, pieces): repeated windows by place, and the distinct pieces' places with their digests and nodes."""
+    found = settled(word_graph.repeated_edges(edges(df, key, text, window, gram)))
+    texts = df.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t"))
+    return found, settled(word_graph.measured(texts, found, window, split_words))
 
 
 def repeated_paths(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, h, spans): for each document with repeated windows, the runs of their starts."""
-    return windows.spans_by_row(windows.settle(edges(df, key, text, window)))
+    found, pieces = pieces_found(df, key, text, window)
+    return settled(word_graph.spans(pieces, word_graph.paths(pieces), found), found, pieces)
 
 
 def removed(n_words: int, spans: list, window: int):

@@ -2,9 +2,9 @@
 
 Windows (the edges of a De Bruijn graph over windows one item shorter) are dealt out by their minimizer, the
 smallest hash of the shorter grams inside. Equal windows have equal minimizers, and neighbouring
-windows mostly share one, so a run of windows travels as one row. Copies within a slice of rows are
-settled where they are read and only one of them travels, so a window that a third of all rows
-hold costs one row a slice, not one a row.
+windows mostly share one, so a run of windows travels as one row. Callers settle copies within a slice of
+rows where they are read and send one of them, so a window that a third of all rows hold costs one row a
+slice, not one a row.
 
 Rows: ``key`` (where it goes), the row's own ``doc`` and ``h`` (hash of its text), ``kind`` (of the windows, for callers
 that look for several lengths; keys of unlike kinds must differ), ``at`` and ``n`` (window starts at..at+n-1),
@@ -122,22 +122,27 @@ def spread(h: pa.Array, row, place):
 NAMES = ["key", "doc", "h", "kind", "at", "n", "hashes"]
 
 
-def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers) -> pa.RecordBatch:
-    """Rows for a slice of windows: owner (row of doc and h), place (start), hash, and minimizer of each, in order."""
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables that end with the last row of a key."""
     import numpy as np
-
-    twice, spare = repeated(hashes)
-    breaks = place - np.arange(len(place))  # constant while starts go on by one
-    a, n = runs(~spare, owner, minimizers, breaks)
-    packed = pack(hashes)
-    rows = [packed[HASH_BYTES * x : HASH_BYTES * (x + k)] for x, k in zip(a.tolist(), n.tolist(), strict=True)]
-    b, m = runs(twice, owner, breaks)
-    at = np.concatenate([a, b])
-    own = pa.array(owner[at])
-    known = spread(h.take(pa.array(owner[b])), owner[b], place[b])
-    key = np.concatenate([minimizers[a].view(np.int64), known])
-    column = pa.array([*rows, *[None] * len(b)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key), doc.take(own), h.take(own), pa.array(np.zeros(len(at), np.int64)), pa.array(place[at]), pa.array(np.concatenate([n, m])), column], NAMES)
+    import pyarrow.compute  # noqa: F401
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= BATCH_WINDOWS:
+            key = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.append(key[0] != held[-1].column(0)[-1].as_py(), key[1:] != key[:-1]))
+            if len(edge):
+                if edge[0]:
+                    held.append(batch.slice(0, int(edge[0])))
+                yield pa.Table.from_batches(held)
+                held, size, batch = [], 0, batch.slice(int(edge[0]))
+        held.append(batch)
+        size += pa.compute.sum(batch.column(NAMES.index("n"))).as_py()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -161,25 +166,8 @@ def settle(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.concat_arrays([*known.column(c).chunks, *t.column(c).take(pa.array(own)).chunks]) if known.num_rows + len(own) else pa.array([], t.schema.field(c).type) for c in ("doc", "h", "kind")] + [pa.concat_arrays([known.column(c).combine_chunks() if known.num_rows else pa.array([], pa.int64()), pa.array(x)]) for c, x in (("at", at), ("n", length))], ["doc", "h", "kind", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute  # noqa: F401
-
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if size >= BATCH_WINDOWS:
-                key = batch.column(0).to_numpy()
-                edge = np.flatnonzero(np.append(key[0] != held[-1].column(0)[-1].as_py(), key[1:] != key[:-1]))
-                if len(edge):
-                    if edge[0]:
-                        held.append(batch.slice(0, int(edge[0])))
-                    yield compare(pa.Table.from_batches(held))
-                    held, size, batch = [], 0, batch.slice(int(edge[0]))
-            held.append(batch)
-            size += pa.compute.sum(batch.column(NAMES.index("n"))).as_py()
-        if held:
-            yield compare(pa.Table.from_batches(held))
+        for table in buckets(batches):
+            yield compare(table)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, out)
