@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -82,13 +83,16 @@ def settled(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """``written``, after which what is behind the table is given back: the shuffles, and the written tables ``spent``.
 
     Spark removes a shuffle's files once the driver's heap has lost its last reference, which without a collection may
-    be long after. A lost executor costs nothing that is given back, as later stages read the new table.
+    be long after. One collection leaves what the write has just let go of; a second one, a moment later, finds it.
+    A lost executor costs nothing that is given back, as later stages read the new table.
     """
     out = written(df)
     for table_ in spent:
         _remove(df.sparkSession, table_.written_path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
