@@ -5,9 +5,10 @@ two places or more are compacted: first within a minimizer's bucket, then by joi
 branch. Source coordinates (document, place) lead back to the words of each piece, whose digests decide whether it repeats.
 The paths are laid over the words of their documents, and each word under a path goes.
 
-Scale: one exchange of 7 bytes a window, two of the texts, each given back before the next; copies of a window within a slice
-of rows travel only where their neighbours differ, so common passages and copies do not gather in one task. The lists
-joined to a document are bounded by its own length. The windows of one minimizer meet in one task.
+Scale: texts are hashed twice, first to count the common minimizers; one exchange of 7 bytes a window, two of the texts, each
+given back before the next; copies of a window within a slice of rows do not travel, and the windows of common minimizers are dealt out by their own
+hashes, so common passages and copies do not gather in one task: a window comes there once a slice at most. The lists
+joined to a document are bounded by its own length.
 
 Defined results: null and empty texts have no words and keep the empty string; texts shorter than the window
 are kept whole; rows that repeat a doc_id and a text are each other's copies; extra columns are not
@@ -38,10 +39,10 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
-def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Runs of windows by minimizer, rows of ``windows.schema``."""
+def _by_slice(df: DataFrame, key: str, text: str, window: int, gram: int, form, schema: T.StructType | None = None) -> DataFrame:
+    """Batches that ``form`` makes of each slice of windows: batch, owner, place, hashes, minimizers, words, index of the first word."""
     rows = df.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t"))
-    schema = windows.schema(rows.schema["doc"].dataType)
+    schema = schema or windows.schema(rows.schema["doc"].dataType)
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
         """(row, first place, words) in pieces that overlap by a window less one."""
@@ -64,7 +65,7 @@ def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         inside = offset <= sizes[part] - window
         owner = np.array([r for r, _, _ in held])[part[inside]]
         place = offset[inside] + np.array([s for _, s, _ in held])[part[inside]]
-        return word_graph.offered(batch.column(0), batch.column(1), owner, place, full[inside], least[inside], words, np.flatnonzero(inside), window)
+        return form(batch, owner, place, full[inside], least[inside], words, np.flatnonzero(inside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "t"):
@@ -81,9 +82,21 @@ def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     return rows.mapInArrow(run, schema)
 
 
+def edges(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Runs of windows by minimizer, rows of ``windows.schema``."""
+    return _by_slice(df, key, text, window, gram, lambda batch, *of_windows: word_graph.offered(batch.column(0), batch.column(1), *of_windows, window))
+
+
+def common_minimizers(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> list[int]:
+    """Minimizers whose windows are dealt out one by one; counted over all texts."""
+    parts = word_graph.SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n")])
+    return word_graph.common(_by_slice(df, key, text, window, gram, lambda batch, owner, place, hashes, minimizers, *_: word_graph.heavy(hashes, minimizers, parts), schema), parts)
+
+
 def pieces_found(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(found, pieces): repeated windows by place, and the distinct pieces' places with their digests and nodes."""
-    found = settled(word_graph.repeated_edges(edges(df, key, text, window, gram)))
+    found = settled(word_graph.repeated_edges(edges(df, key, text, window, gram), common_minimizers(df, key, text, window, gram)))
     texts = df.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t"))
     return found, settled(word_graph.measured(texts, found, window, split_words))
 

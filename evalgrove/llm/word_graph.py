@@ -10,8 +10,11 @@ An edge is a window of k words that repeats, a node the k-1 words that two edges
    follow each other, and joins with doubled steps give each piece its path and its offset in it.
 4. ``spans``: places of pieces are joined to their paths; pieces of one path at one diagonal of a document become one span.
 
-A copy of a window within a slice of rows is compared with the first copy word by word; if its neighbours are also the first
-copy's, it does not travel, as it adds no edge to the graph.
+A copy of a window within a slice of rows is compared with the first copy word by word and then does not travel, as it adds no
+edge to the graph; the first copy carries whether it has one, and whether a neighbour of one differs from its own.
+
+A minimizer is common if more than 1 / (SHARES * partitions) of all windows have it, so there are fewer than SHARES *
+partitions of these. Their windows are dealt out one by one, by their own hashes, and meet their neighbours only as paths.
 """
 
 from __future__ import annotations
@@ -29,7 +32,11 @@ from evalgrove.llm.common import settled, text_slices, written
 
 #: What a row of windows is: to be found twice, known to have a copy in its slice, or such a copy (without hashes).
 OPEN, HAS_COPY, COPY = 0, 1, 2
+#: Further bits of a row with copies: the window after, or before, is not the same at all of them.
+AFTER_VARIES, BEFORE_VARIES = 4, 8
 DIGEST_BYTES = 16
+#: A minimizer with more windows than a partition's even share over this number is common.
+SHARES = 4
 
 
 def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers, words: list[bytes], word_at, window: int) -> pa.RecordBatch:
@@ -45,13 +52,15 @@ def offered(doc: pa.Array, h: pa.Array, owner, place, hashes, minimizers, words:
     on = (owner[1:] == owner[:-1]) & (breaks[1:] == breaks[:-1])
     after, before = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
     after[:-1][on], before[1:][on] = hashes[1:][on], hashes[:-1][on]
-    copy = (first != np.arange(len(hashes))) & (after == after[first]) & (before == before[first])
+    copy = first != np.arange(len(hashes))
     for a, n in zip(*(x.tolist() for x in windows.runs(copy, owner, breaks, word_at[first] - word_at)), strict=True):
         p, q, size = int(word_at[a]), int(word_at[first[a]]), n + window - 1
         if words[p : p + size] != words[q : q + size]:
             copy[a : a + n] = False
     known = np.zeros(len(hashes), np.int64)
     known[first[copy]] = HAS_COPY
+    known[first[copy & (after != after[first])]] |= AFTER_VARIES
+    known[first[copy & (before != before[first])]] |= BEFORE_VARIES
     a, n = windows.runs(~copy, owner, minimizers, breaks, known)
     packed = windows.pack(hashes)
     size = windows.HASH_BYTES
@@ -88,19 +97,21 @@ def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
     edge = np.empty(len(hashes), np.int64)
     edge[order] = np.cumsum(new) - 1
     often = np.diff(np.append(begins, len(hashes))) > 1
-    often[edge[kind[row] == HAS_COPY]] = True
+    often[edge[kind[row] & HAS_COPY > 0]] = True
     again = often[edge]
     goes_on = np.append((key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + n[:-1]), False)
     step = ((row[1:] == row[:-1]) | goes_on[row[:-1]]) & again[1:] & again[:-1]
 
-    def only(neighbour):
+    def only(neighbour, varies):
         """The neighbour that an edge has at all its places, or -1."""
         least, most = (f.reduceat(neighbour[order], begins) for f in (np.minimum, np.maximum))
-        return np.where(least == most, least, -1)
+        found = np.where(least == most, least, -1)
+        found[edge[kind[row] & varies > 0]] = -1
+        return found
 
     after, before = np.full(len(edge), -1), np.full(len(edge), -1)
     after[:-1][step], before[1:][step] = edge[1:][step], edge[:-1][step]
-    linked = step & (only(after)[edge[:-1]] == edge[1:]) & (only(before)[edge[1:]] == edge[:-1]) & (edge[1:] != edge[:-1])
+    linked = step & (only(after, AFTER_VARIES)[edge[:-1]] == edge[1:]) & (only(before, BEFORE_VARIES)[edge[1:]] == edge[:-1]) & (edge[1:] != edge[:-1])
     begin = again.copy()
     begin[1:] &= ~linked
     first, done = np.flatnonzero(begin), np.cumsum(again)
@@ -113,8 +124,40 @@ def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def repeated_edges(rows: DataFrame) -> DataFrame:
-    """(doc, h, at, n, kind): pieces of repeated windows, from rows of ``offered``. One shuffle, by minimizer."""
+def heavy(hashes, minimizers, parts: int) -> pa.RecordBatch:
+    """(key, n): minimizers with more than 1 / parts of a slice's distinct windows; with a null key, their total."""
+    import numpy as np
+
+    key, n = np.unique(minimizers[np.unique(hashes, return_index=True)[1]], return_counts=True)
+    over = n * parts > n.sum()
+    return pa.RecordBatch.from_arrays([pa.array([*key[over].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[over].tolist(), int(n.sum())], pa.int64())], ["key", "n"])
+
+
+def common(sizes: DataFrame, parts: int) -> list[int]:
+    """The common minimizers, from rows of ``heavy``; fewer than ``parts``.
+
+    Any with more than twice that share of all windows is among them: slices where it is not heavy hold one share at most.
+    """
+    sums = written(sizes.groupBy("key").agg(F.sum("n").alias("n")))
+    total = sums.filter("key is null").first()
+    return [r.key for r in sums.filter(F.col("key").isNotNull() & (F.col("n") * parts > (total.n if total else 0))).select("key").collect()]
+
+
+def divided(rows: DataFrame, keys: list[int]) -> DataFrame:
+    """Rows of ``offered``, those of ``keys`` cut into windows with keys of their own; equal windows keep equal keys."""
+    if not keys:
+        return rows
+    listed = rows.sparkSession.createDataFrame([(k, True) for k in keys], "key bigint, common boolean")
+    each = F.when(F.col("common") & F.col("hashes").isNotNull(), F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).otherwise(F.array(F.lit(None).cast("int")))
+    cut = rows.join(F.broadcast(listed), "key", "left").select(*rows.columns, F.explode(each).alias("i"))
+    own = F.substring("hashes", F.col("i") * windows.HASH_BYTES + 1, F.lit(windows.HASH_BYTES))
+    whole = F.col("i").isNull()
+    new = {"key": F.xxhash64(own), "at": F.col("at") + F.col("i"), "n": F.lit(1).cast("long"), "hashes": own}
+    return cut.select(*[F.when(whole, F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def repeated_edges(rows: DataFrame, keys: list[int]) -> DataFrame:
+    """(doc, h, at, n, kind): pieces of repeated windows, from rows of ``offered`` and the ``common`` minimizers. One shuffle, by minimizer."""
     out = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "at", "n", "kind")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +165,7 @@ def repeated_edges(rows: DataFrame) -> DataFrame:
             yield from _pieces(table)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "h", "doc", "at").mapInArrow(run, out)
+    return divided(rows, keys).repartition(n, "key").sortWithinPartitions("key", "h", "doc", "at").mapInArrow(run, out)
 
 
 def measured(texts: DataFrame, found: DataFrame, window: int, split: Callable[[str | None], list[bytes]]) -> DataFrame:
@@ -130,7 +173,7 @@ def measured(texts: DataFrame, found: DataFrame, window: int, split: Callable[[s
 
     Weight: places of the piece, one more for a copy in its slice.
     """
-    merged = found.filter(F.col("kind") != COPY).groupBy("doc", "h", "at", "n").agg(F.sum(F.col("kind") + 1).alias("weight"))
+    merged = found.filter(F.col("kind") != COPY).groupBy("doc", "h", "at", "n").agg(F.sum(F.col("kind").bitwiseAND(HAS_COPY) + 1).alias("weight"))
     listed = merged.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n", "weight")).alias("pieces")).withColumnsRenamed({"doc": "__doc", "h": "__h"})
     joined = texts.join(listed, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))).select("doc", "h", "t", "pieces")
     longs = [T.StructField(c, T.LongType()) for c in ("h", "at", "n", "weight", "head", "tail")]

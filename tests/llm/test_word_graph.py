@@ -42,8 +42,9 @@ def plain(rows):
     return sorted(lengths), len(edges) - len(seen)
 
 
-@pytest.mark.parametrize("slices", [1, 5])
-def test_paths_are_the_maximal_nonbranching_ones(spark, slices):
+@pytest.mark.parametrize(("slices", "shares"), [(1, word_graph.SHARES), (5, word_graph.SHARES), (5, 10**9)])
+def test_paths_are_the_maximal_nonbranching_ones(spark, monkeypatch, slices, shares):
+    monkeypatch.setattr(word_graph, "SHARES", shares)  # the last: every minimizer is common
     rows = texts()
     want, on_rings = plain(rows)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id bigint, text string").repartition(slices)
