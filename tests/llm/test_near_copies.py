@@ -1,6 +1,8 @@
 """The pipeline's near copies against brute force over all pairs."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalgrove.llm import near_copies
@@ -52,3 +54,63 @@ def test_near_copies_equal_brute_force(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
     assert sorted(r.doc_id for r in near_copies.keep_first(df).collect()) == kept(rows)
+
+
+def test_fingerprints_and_trees(spark):
+    """Five-word fingerprints as a plain sum of votes; texts share a bucket if links of a trie connect them, else not."""
+    rows = [(k, words(60, k)) for k in range(20)]
+    rows += [(100 + k, f"{t} tail{k}") for k, t in rows[:10]] + [(200, None), (201, ""), (202, "one"), (203, "x y " * 700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    own = near_copies.shingles("x y " * 700)
+    assert len(own) == 1396 and len(set(own.tolist())) == 2
+    found = near_copies.prints(df, "doc_id", "text").cache()
+    got = {r.k: [x % 2**64 for x in r.prints] for r in found.collect()}
+    flip = np.random.default_rng(11).integers(0, 1 << 63, 2 * near_copies.PRINTS, np.uint64)
+    for i, t in rows:
+        values = np.unique(near_copies.shingles(t))
+        for k in range(near_copies.PRINTS):
+            large, small = ([int(x) for x in near_copies._mixed(values ^ f)] for f in flip[2 * k : 2 * k + 2])
+            sums = [sum(4 * (a >> b & 1) + 2 * (c >> b & 1) - 3 for a, c in zip(large, small, strict=True)) for b in range(64)]
+            assert got[i][k] == sum(1 << b for b in range(64) if sums[b] > 0)
+    nodes = found.groupBy("h").agg(F.first("prints").alias("prints")).cache()
+    texts = {r.h: [x % 2**64 for x in r.prints] for r in nodes.collect()}
+    turned = lambda x, by: (x << by | x >> (64 - by)) % 2**64 >> (64 - near_copies.WIDTH)
+    want = set()
+    for kind in range(near_copies.PRINTS * len(near_copies.TURNS)):
+        k, by = kind // len(near_copies.TURNS), near_copies.TURNS[kind % len(near_copies.TURNS)]
+        group = {h: h for h in texts}
+        for _ in range(3):
+            for a in texts:
+                for b in texts:
+                    if turned(texts[a][k], by) == turned(texts[b][k], by) and (texts[a][k] ^ texts[b][k]).bit_count() <= near_copies.BITS:
+                        group[a] = group[b] = min(group[a], group[b])
+        trees = [frozenset(h for h in group if group[h] == g) for g in set(group.values())]
+        want |= {(kind, t) for t in trees if len(t) > 1}
+    shared = near_copies.trees(nodes).groupBy("kind", "b").agg(F.collect_set("h").alias("hs")).collect()
+    assert {(r.kind, frozenset(r.hs)) for r in shared} == want and want
+
+
+def test_near_copies_come_from_the_tries(spark):
+    base = words(200, 3).split()
+    rows = [(k, " ".join([*base[: 15 * k], f"w{k}", *base[15 * k + 1 :]])) for k in range(1, 6)] + [(9, words(200, 4)), (10, words(200, 4))]
+    df = spark.createDataFrame([(0, " ".join(base)), *rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_first(df).collect()) == [0, 9]
+    assert sorted(r.doc_id for r in near_copies.keep_first(df, bits=-1).collect()) == [0, 1, 2, 3, 4, 5, 9]  # no links but equal texts
+
+
+def test_all_pairs_share_a_bucket(spark):
+    """No pair of a similarity of 0.8 or more is left to another pair's links."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.text, frozenset(shingles(r.text)))
+    sets, pairs = list(rows.items()), set()
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                pairs.add(frozenset((sets[a][0], sets[b][0])))
+    nodes = near_copies.prints(df.distinct(), "doc_id", "text").groupBy("h").agg(F.first("prints").alias("prints"))
+    texts = {r.h: r.text for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    found = {frozenset((texts[a], texts[b])) for r in near_copies.trees(nodes).groupBy("kind", "b").agg(F.collect_set("h").alias("hs")).collect() for a in r.hs for b in r.hs if a != b}
+    assert pairs and pairs <= found
