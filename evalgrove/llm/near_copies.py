@@ -15,10 +15,11 @@ trie with a chance of 1e-5, one of four and five shingles with 1e-4, pairs above
 fingerprints side by side are a sketch; it drops pairs with more than ``UNLIKE`` unlike bits, by which a pair at 0.8 is
 lost with a chance of 1e-6. Nothing else is left out.
 
-Links: each bucket's first text against the others, verified by the sets themselves. Then all pairs of a bucket that
-the components so far do not connect, verified the same way, unless a second sketch of ``FINE`` bytes of minima, made
-for texts of such buckets only, differs in more than ``FINE_UNLIKE`` (a pair at 0.8 is lost with a chance of 3e-7; pairs
-below 0.72 hardly pass). So a large group of near copies costs a link a text; what grows with the square of a bucket
+Links: a text without a like sketch in a bucket leaves it before any set is made, so links of a trie by chance cost no
+sets. Each text that stays has one of the texts it is like, the first of a bucket if it can be; these pairs are verified by
+the sets themselves. Then all pairs of a bucket that the components so far do not connect, verified the same way, unless a
+second sketch of ``FINE`` bytes of minima, made for texts of such buckets only, differs in more than ``FINE_UNLIKE`` (a
+pair at 0.8 is lost with a chance of 3e-7; pairs below 0.72 hardly pass). So a large group of near copies costs a link a text; what grows with the square of a bucket
 is comparing sketches of texts that are not connected, and verifying those of 0.74 and more. The tries' work grows with
 the square of the texts below a block value (1 / 2 ** ``WIDTH`` of all, for unlike texts).
 
@@ -260,20 +261,33 @@ def _longs(t: pa.Table, name: str):
     return t.column(name).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """(u, v), distinct, from members (b, c, h, prints): the first of each bucket b with the others that are like it."""
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+def _alike(members: DataFrame) -> DataFrame:
+    """(b, kind, h, to) from members (b, kind, c, h, prints): those with a like sketch in their bucket b; to is one that is like h, null for the first of such a group."""
+    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("to", T.LongType())])
 
     def of_bucket(t: pa.Table) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        h, sketch = t.column("h").to_numpy(), _longs(t, "prints")
-        for k in range(1, len(h), PAIRS):
-            b = k + np.flatnonzero(np.bitwise_count(sketch[k : k + PAIRS] ^ sketch[0]).sum(1, dtype=np.int64) <= UNLIKE)
-            if len(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[0], h[b])), pa.array(np.maximum(h[0], h[b]))], ["u", "v"])
+        sketch, to = _longs(t, "prints"), np.full(t.num_rows, -1)
+        led = np.zeros(t.num_rows, bool)
+        for a in range(t.num_rows):
+            if to[a] >= 0:
+                continue
+            for k in range(0, t.num_rows, PAIRS):
+                b = k + np.flatnonzero(np.bitwise_count(sketch[k : k + PAIRS] ^ sketch[a]).sum(1, dtype=np.int64) <= UNLIKE)
+                b = b[b != a]
+                if not len(b):
+                    continue
+                free = b[(to[b] < 0) & ~led[b]]
+                to[free], led[a] = a, True
+                if len(free) < len(b) and to[a] < 0:  # like a text that has a place already
+                    to[a] = np.setdiff1d(b, free)[0]
+        kept = led | (to >= 0)
+        if kept.any():
+            h = t.column("h").to_numpy()
+            yield from t.select(["b", "kind", "h"]).append_column("to", pa.array(h[to], mask=to < 0)).filter(pa.array(kept)).combine_chunks().to_batches()
 
-    return _of_buckets(members, ["b", "c", "h", "prints"], schema, of_bucket).distinct()
+    return _of_buckets(members, ["b", "c", "h", "kind", "prints"], schema, of_bucket)
 
 
 def _apart(kind: int, c, prints, bits: int) -> Iterator[tuple[int, object]]:
@@ -349,19 +363,20 @@ def roots(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BI
     nodes = found.groupBy("h").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k")).alias("x"), F.first("prints").alias("prints"))
     nodes = written(nodes.select("h", F.col("x.k").alias("k"), "prints"))
     dealt = settled(trees(nodes, bits))
-    members = dealt.select("b", "h").join(nodes.select("h", "prints"), "h")
-    wanted = nodes.join(dealt.select("h").distinct(), "h", "left_semi").select(F.col("k").alias("__k"), F.col("h").alias("__h"))
+    alike = settled(_alike(dealt.withColumn("c", F.col("h")).join(nodes.select("h", "prints"), "h")), dealt)
+    wanted = nodes.join(alike.select("h").distinct(), "h", "left_semi").select(F.col("k").alias("__k"), F.col("h").alias("__h"))
     rows = df.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t"))
-    rows = rows.join(wanted, F.col("k").eqNullSafe(F.col("__k")) & (F.col("h") == F.col("__h")), "left_semi")
-    sets = written(_sets(rows))  # a repeated row repeats a link at most
-    first = durable(_similar(_star(members.withColumn("c", F.col("h"))), sets))
+    rows = rows.join(wanted.hint("merge"), F.col("k").eqNullSafe(F.col("__k")) & (F.col("h") == F.col("__h")), "left_semi")  # the same plan for every size
+    sets = settled(_sets(rows))  # a repeated row repeats a link at most
+    star = alike.filter("`to` IS NOT NULL").select(F.least("h", "to").alias("u"), F.greatest("h", "to").alias("v")).distinct()
+    first = durable(_similar(star, sets))
     linked = components(first)
-    named = dealt.join(linked.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("root", "h"))
-    apart = settled(_open(named.join(nodes.select("h", "prints"), "h"), bits))
+    named = alike.join(linked.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("root", "h"))
+    apart = settled(_open(named.join(nodes.select("h", "prints"), "h"), bits), alike)
     fine = written(_fine(sets.join(apart.select("h").distinct(), "h", "left_semi")))
     texts = nodes.select("h", "prints").join(fine.groupBy("h").agg(F.first("fine").alias("fine")), "h")
     rest = durable(_similar(_rest(apart.join(texts, "h"), bits), sets))
-    return found, linked if rest.isEmpty() else components(first.unionByName(rest))
+    return found, settled(linked if rest.isEmpty() else components(first.unionByName(rest)), nodes, sets, apart, fine)
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
@@ -370,9 +385,10 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     rank = F.struct(F.col("k").isNull().alias("none"), "k", "h")
     first = found.groupBy("h").agg(F.min(rank).alias("x"))  # one row of each text before the join
     kept = first.join(linked.withColumnRenamed("node", "h"), "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("x").alias("x"))
-    kept = kept.select(F.col("x.k").alias("__k"), F.col("x.h").alias("__h"))
+    again = not found.groupBy("k", "h").count().filter("count > 1").isEmpty()  # the same key and text more than once
+    kept = settled(kept.select(F.col("x.k").alias("__k"), F.col("x.h").alias("__h")), found, linked)
     rows = df.withColumn("__own", F.xxhash64(F.col(text)))
-    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__h")), "left_semi")
-    if not found.groupBy("k", "h").count().filter("count > 1").isEmpty():  # the same key and text more than once
+    rows = rows.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__h")), "left_semi")
+    if again:
         rows = rows.dropDuplicates([key, "__own"])
     return rows.drop("__own")

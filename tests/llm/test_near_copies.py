@@ -1,11 +1,14 @@
 """The pipeline's near copies against brute force over all pairs."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalgrove.llm import near_copies
+from evalgrove.llm.common import shared_folder
 from tests.llm.test_small import SCHEMA, docs, none, words  # noqa: F401
 
 
@@ -114,3 +117,35 @@ def test_all_pairs_share_a_bucket(spark):
     texts = {r.h: r.text for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
     found = {frozenset((texts[a], texts[b])) for r in near_copies.trees(nodes).groupBy("kind", "b").agg(F.collect_set("h").alias("hs")).collect() for a in r.hs for b in r.hs if a != b}
     assert pairs and pairs <= found
+
+
+def test_chance_links_cost_no_sets_and_spent_tables_go(spark, monkeypatch):
+    base = words(200, 5).split()
+    like = [(k, " ".join([*base[: 15 * k], f"w{k}", *base[15 * k + 1 :]])) for k in range(1, 6)]
+    df = spark.createDataFrame(like + [(100 + k, words(60, 100 + k)) for k in range(200)], "doc_id bigint, text string")
+    made, sets = [], near_copies._sets
+    monkeypatch.setattr(near_copies, "_sets", lambda rows: made.append({r.h for r in rows.select("h").collect()}) or sets(rows))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("evalgrove-*"))
+    out = near_copies.keep_first(df, bits=40)  # nearly all pairs below a block value are linked
+    assert made == [{r.h for r in df.filter("doc_id < 100").select(F.xxhash64("text").alias("h")).collect()}]
+    assert len(set(folder.glob("evalgrove-*")) - before) == 1  # the keys that stay
+    assert sorted(r.doc_id for r in out.collect()) == [1, *range(100, 300)]
+
+
+@pytest.mark.parametrize("pairs", [3, 1 << 15])
+def test_texts_without_a_like_sketch_leave_a_bucket(spark, monkeypatch, pairs):
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    draw, rows = np.random.default_rng(1), []
+    for b in range(20):
+        bits = draw.integers(0, 2, (12, 64 * near_copies.PRINTS))
+        for k in draw.permutation(12)[: b % 10]:  # like one of the others, by chance in chains
+            bits[k] = np.where(draw.random(bits.shape[1]) < 0.2, 1 - bits[k - 1], bits[k - 1])
+        found = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        rows += [(b, 0, 100 * b + k, 100 * b + k, found[k].view(np.int64).tolist()) for k in range(12)]
+    like = {r[3]: {q[3] for q in rows if q[0] == r[0] and q[3] != r[3] and sum(((x ^ y) % 2**64).bit_count() for x, y in zip(r[4], q[4], strict=True)) <= near_copies.UNLIKE} for r in rows}
+    got = near_copies._alike(spark.createDataFrame(rows, "b bigint, kind int, c bigint, h bigint, prints array<bigint>")).collect()
+    assert sorted(r.h for r in got) == sorted(h for h in like if like[h]) and len(got) < len(rows)
+    assert all(r.to in like[r.h] for r in got if r.to is not None)
+    named = {r.h for r in got if r.to is not None} | {r.to for r in got}
+    assert named >= {h for h in like if like[h]}  # each has a pair
