@@ -1,7 +1,8 @@
 """Backends for the calls that a model would answer (X1-X5), and a deterministic one made of rules.
 
 The rule backend stands in for a model, so that pipelines run without a network; it does not reproduce a model's
-judgement. A backend maps batches of rows to batches of rows; it runs within mapInPandas, a client a partition.
+judgement. A backend maps batches of rows to batches of rows; it runs within mapInArrow, a client a partition. Rows become
+Python objects a slice of a batch at a time, so a worker holds a batch of Spark's and one slice, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from evalgrove.operators.registry import JUDGES
 
 JUDGE = "struct<applicable: boolean, passed: boolean, reason: string, error: string>"
+#: Bytes and rows of a batch that are Python objects at a time.
+SLICE_BYTES, SLICE_ROWS = 1 << 22, 1_000
 PRIMARY, SECONDARY = ("correctness", "groundedness"), ("safety", "legal", "redirects_when_unknown")
 
 
@@ -68,16 +71,28 @@ class RuleBackend:
         return "password" not in text, "no rule is broken" if "password" not in text else "asks for a password"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few of them at a time: about ``SLICE_BYTES`` and ``SLICE_ROWS`` at most, a row at least."""
+    for batch in batches:
+        n = min(SLICE_ROWS, max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
+def _with(part: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *more.values()], [*part.schema.names, *more])
+
+
 def embed(df: DataFrame, backend: Backend, text: str = "query", out: str = "embedding", batch: int = 100) -> DataFrame:
     """In batches of ``batch`` texts."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = pdf[text].tolist()
-            yield pdf.assign(**{out: [v for k in range(0, len(texts), batch) for v in backend.embed(texts[k : k + batch])]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            texts = part.column(text).to_pylist()
+            yield _with(part, {out: pa.array([v for k in range(0, len(texts), batch) for v in backend.embed(texts[k : k + batch])], pa.list_(pa.float32()))})
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def generate(df: DataFrame, backend: Backend, question: str = "query", context: str = "context") -> DataFrame:
@@ -90,12 +105,13 @@ def generate(df: DataFrame, backend: Backend, question: str = "query", context:
         except Exception as e:  # noqa: BLE001
             return None, False, str(e)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [one(q, c) for q, c in zip(pdf[question], pdf[context], strict=True)]
-            yield pdf.assign(bot_response=[x[0] for x in found], bot_success=[x[1] for x in found], bot_error=[x[2] for x in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            found = [one(q, c) for q, c in zip(part.column(question).to_pylist(), part.column(context).to_pylist(), strict=True)]
+            kinds = {"bot_response": pa.string(), "bot_success": pa.bool_(), "bot_error": pa.string()}
+            yield _with(part, {name: pa.array([x[k] for x in found], kind) for k, (name, kind) in enumerate(kinds.items())})
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def judge(df: DataFrame, backend: Backend, judges: tuple[str, ...], applicable=None, key: str = "case_id") -> DataFrame:
@@ -111,12 +127,14 @@ def judge(df: DataFrame, backend: Backend, judges: tuple[str, ...], applicable=N
         except Exception as e:  # noqa: BLE001
             return {"applicable": True, "passed": None, "reason": None, "error": str(e)}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = pdf.to_dict("records")
-            yield pd.DataFrame({key: pdf[key], **{j: [one(j, r) for r in found] for j in judges}})
+    kind = pa.struct({"applicable": pa.bool_(), "passed": pa.bool_(), "reason": pa.string(), "error": pa.string()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            found = part.to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(key), *[pa.array([one(j, r) for r in found], kind) for j in judges]], [key, *judges])
 
-    judged = rows.filter("__reach").drop("__reach").mapInPandas(run, schema)
+    judged = rows.filter("__reach").drop("__reach").mapInArrow(run, schema)
     none = F.struct(F.lit(False).alias("applicable"), F.lit(None).cast("boolean").alias("passed"), F.lit("not applicable").alias("reason"), F.lit(None).cast("string").alias("error"))
     out = df.join(judged, key, "left")
     for j in judges:
